@@ -1,0 +1,161 @@
+"""Labelled seed texts for the residue models: filler, page notices, natural prose, and sentences around template blanks.
+
+Written for this project. ``|`` never occurs in a seed other than as page furniture.
+"""
+
+FILLER = [
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.",
+    "Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.",
+    "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.",
+    "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
+    "Lorem ipsum labor velit mollis animi tempora quisque magnos dolem fugit noster consec paria adipi ametus sitar cupid offic ulma modus sinto.",
+    "velit magnos sinto labor cupid animi noster tempora modus sitar ulma fugit offic quisque dolem paria adipi mollis ametus consec",
+    "Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas. Vestibulum tortor quam, feugiat vitae.",
+    "Sample text. Sample text. Sample text. Sample text. This is sample text. Example text. Example text.",
+    "Your text goes here. Your text goes here. Your text goes here. Text goes here. Add your text here. Insert text here. Your content here.",
+    "Placeholder paragraph, replace before publishing. Placeholder paragraph, replace before publishing. This is placeholder text. Placeholder.",
+    "Content coming soon. Content coming soon. Content coming soon. Text to follow. Copy to follow. Coming soon. Coming soon.",
+    "Dummy text. Dummy text for layout only. Filler text. Filler copy. Blindtext. Blindtext. Platzhaltertext. Texto de relleno. Texte de remplissage.",
+    "TBD\ndescription tbd, owner tbd, date tbd\ntitle tbd, link tbd, author tbd",
+    "TBD\n- item one\n- item two\n- item three\n- item four\n- point one\n- point two",
+    "TBD\ntbc tbc tbc tbc tbc tbc\ntbd tbd tbd tbd tbd tbd\ntba tba tba tba",
+    "test test test test test test test test test test test test test test test test",
+    "blah blah blah blah blah blah blah blah blah blah blah blah blah blah blah",
+    "foo bar foo bar foo bar foo bar foo bar foo bar baz foo bar baz qux foo bar",
+    "asdf asdf asdf asdf asdf asdf asdf asdf asdf jkl asdf jkl asdf asdfgh asdfgh",
+    "qwer qwer qwer qwer qwer qwer qwer qwerty qwerty qwerty qwertz qwertz",
+    "xxxx xxxx xxxx xxxx xxxx xxxx xxxx xxxx xxxx xxxx xxx xxx xxx xxx xx xx",
+    "aaa aaa aaa aaa bbb bbb bbb ccc ccc ccc 1234 1234 1234 1234 abc abc abc abc abc",
+    "la la la la la la la la la yada yada yada yada yada bla bla bla bla bla bla",
+]
+
+NOTICE = [
+    "HTTP 404\nupstream did not answer in time",
+    "HTTP 502\nBad gateway\nThe upstream server did not answer.",
+    "404 Not Found. The requested URL was not found on this server.",
+    "403 Forbidden. You don't have permission to access this resource. Access denied.",
+    "500 Internal Server Error. Something went wrong on our side. Please try again later.",
+    "503 Service Unavailable. The service is temporarily unavailable. The server is overloaded. Try again later.",
+    "504 Gateway timeout. The page took too long to answer (code 504). Request timed out. Please reload.",
+    "Sorry! The page could not be found. The help entry could not be found. The thread could not be found. Please go back.",
+    "Oops! Something went wrong. The page you are looking for does not exist or was moved. Error 404.",
+    "The article is no longer available. The thread is no longer available. This entry has been removed or is gone.",
+    "The document can't be displayed right now. A planned upgrade is in progress. Maintenance in progress. We'll be back soon.",
+    "Down for maintenance. The site is under maintenance. Please come back later.",
+    "Connection to the database was lost. Could not connect to the database. Error establishing a database connection.",
+    "<html><head><title>500</title></head><body><h1>Bad gateway</h1><hr>nginx</body></html>",
+    "<html><head><title>404</title></head><body><h1>Not found</h1><hr>www.example.com</body></html>",
+    '{"status":404,"error":"internal","trace":"b693de0337abcf09"} {"status":500,"error":"not_found","message":"no such page"}',
+    "Traceback: template_render failed in block article_body, line 502, id fbf7c3b64aa0aa65. Traceback (most recent call last): File, line 12, in render. Exception: null pointer. Fatal error: call to undefined function on line 33. Stack trace: at handler",
+    "Seite nicht gefunden. Der Link ist veraltet (404). Die Seite ist nicht mehr verfügbar. Interner Fehler. Bitte versuche es später erneut.",
+    "Der Server ist überlastet. Zugriff verweigert. Der Beitrag wurde nicht gefunden. Wartungsarbeiten. Der Artikel kann gerade nicht angezeigt werden.",
+    "Página no encontrada. El enlace ha caducado (404). Error interno del servidor. Acceso denegado. La página ya no está disponible. Vuelve a intentarlo más tarde.",
+    "El artículo no se pudo cargar. El servidor está sobrecargado. Estamos en mantenimiento. El servicio no está disponible en este momento.",
+    "Page introuvable. Le lien n'est plus valable (404). Erreur interne du serveur. Accès refusé. La page n'est plus disponible. Réessayez plus tard.",
+    "Le serveur ne répond pas. Le service est indisponible. Site en maintenance. L'article n'a pas pu être affiché. Veuillez recharger.",
+    "Please enable JavaScript to continue. You need to enable JavaScript to run this app. This page requires JavaScript. JavaScript is required.",
+    "JavaScript is disabled. Please allow it and reload. JavaScript is turned off in your browser. Turn it on to view this page.",
+    "Cookies and scripts are required to use the help centre. Please allow scripts. scripts must be on. Please allow it in the settings.",
+    "To see the comments you must switch on javascript and cookies in the settings. Before you go further you must enable scripts in your browser.",
+    "Can't start: javascript and cookies off. enable then refresh. Can't start: scripting off. allow and reload. switch on in your browser.",
+    "Unsupported browser. Active scripting must be on. Your browser is not supported. Please update or permit active scripting.",
+    "<noscript>We're sorry but this site doesn't work properly without JavaScript enabled.</noscript> Loading... If nothing happens, check that scripts are permitted.",
+    "Ad blocker or script blocker detected. Disable it to read on. Turn off your ad blocker to continue.",
+    "Checking that you are human. This takes a few seconds. ID 8b6efc93f1d7d06a. Verify you are human. Checking your browser before access. Complete the captcha.",
+    "JavaScript ist deaktiviert. Bitte aktiviere es, um fortzufahren. Ohne JavaScript kann der Beitrag nicht angezeigt werden. Diese Seite benötigt JavaScript. Bitte Skripte erlauben. Der Eintrag, das Dokument, die Seite.",
+    "Activa JavaScript para ver esta página. Es necesario activar los scripts del navegador. Este sitio requiere JavaScript. Habilita las cookies y recarga.",
+    "Cet article exige que les scripts soient autorisés. La fiche exige que les scripts soient autorisés. Activez JavaScript pour continuer. Ce site nécessite JavaScript. Votre navigateur bloque les scripts. Cette page, ce fil, ce document.",
+    "Your session has expired. Sign in again to see this page. You must be signed in. Session timed out. You are not authorised to view this page.",
+    "Oops! We looked everywhere and this page isn't here. You may have mistyped the address. This address has moved or never existed. Nothing here.",
+    "This article failed to load. Sorry for the trouble. An unexpected condition was met. An unknown error occurred. If you own this site, check the logs.",
+    "What you requested was blocked. Our firewall stopped it. Ray caf7620f655e. Report id 2c5636489774. Reference #4c9d988405d61d11. Status 503. Too many requests.",
+    "This resource needs a sign-in you don't have. This page is unavailable in your region. The connection was reset. Host not reachable. DNS lookup failed.",
+    "It looks like you didn't allow JavaScript. Use another browser. This page needs scripts. Turn them on in your browser and reload. Activate javascript and cookies for this site.",
+    "Page introuvable. Le lien a expiré (erreur 400). Le document n'existe pas. La ressource demandée est introuvable. La entrada no existe. Inténtalo más tarde. Das Dokument wurde nicht gefunden. Die Sitzung ist abgelaufen. La sesión ha caducado.",
+    "Home | Help | Sign in\nRetry\nBack to home\nContact the administrator if this goes on.\nImprint Privacy\nPrivacy  Terms  Imprint\n(c) 2023 All rights reserved",
+    "Home > Help > Status | Community | Search ... | Menu  Search  Community\nSkip to content\nSign in | Join | Help\nHome\nTrace ID 7c8bd19a",
+]
+
+PROSE = [
+    "The player skips every other track on my phone since the last update, and restarting it did not help at all.",
+    "We looked at your account today and sent the refund for the second charge. It should arrive within five days.",
+    "To change the plan, go to your settings, choose the family plan and confirm it with your password.",
+    "I moved to a new flat last month and the invitation for the student plan never came, although I asked twice.",
+    "Love the new playlist, but the search is slow and the lyrics are out of step with the music in the evening.",
+    "Our team told the customer that the list filled up, and a colleague will answer by Friday at the latest.",
+    "What is a shared folder? Songs you save stay in it for thirty days and everyone in the family can hear them.",
+    "Nobody at the desk could restore the old report by hand, so they copied the backup and waited overnight.",
+    "The speaker in my kitchen shows an empty page whenever I leave the house, but the radio station still works.",
+    "A charge of 9.99 belongs to the yearly plan, not to the gift card; the customer paid with a voucher in March.",
+    "Agent: Thank you for waiting. Could you tell me which version your tablet runs?\nCustomer: It runs version 8.1.",
+    "When the album shows up, rename it first and check the queue. Keep the backup until the team answers.",
+    "Version 7.2 brings a small button for the smart watch and fixes the sleep timer on older devices.",
+    "Some people in town saw the same problem after they changed plans. It was a shame, but the sound came back.",
+    "With the trial you can export a private playlist once. Please rename your profile and tell the support team.",
+    "Case 6120 was handed to the second line before noon, and the writer asked whether the plan covers three devices.",
+    "You need not share or replace anything; the permission returns before noon and the update stays until next month.",
+    "Please copy your permission on request, reset the update without warning and tell the device group at the weekend.",
+    "Once the neighbour borrows the ladder, a patient baker who paints bicycles at dawn also counts every chorus.",
+    "A good reply would apologise by name and offer a slower route, given that the tone had soured that evening.",
+    "Suppose a young teacher loses the tickets before breakfast; should one explain once and stay on the line?",
+    "Reply sent to [CUSTOMER], link [URL] kept for the desk. Contact on file: [EMAIL], [PHONE]; a refund was sent.",
+    "The tracks named [live] and (demo) have no sound on the old laptop. I asked a friend to check and he heard it.",
+    "Bitte melde dich ab und starte das Gerät neu. Leider hat auch das nichts gebracht, sagt die Kundin am Abend.",
+    "Nach zwanzig Minuten war der Fehler wieder da. Der Fall liegt beim Team, und der Betrag gehört zum Tarif.",
+    "Wer die Band hört, sieht die Mediathek doppelt. In der Stadt fehlt das Album noch immer im Katalog.",
+    "Öffne die Einstellungen und prüfe die Warteschlange auf dem Handy. Version 8 behebt das Problem mit der Radiosendung.",
+    "Die Einladung zum Probemonat kam erst nach zehn Tagen an, sagt eine Testerin, und die Liste war noch leer.",
+    "Cierra la sesión y reinicia el televisor, por favor. Por desgracia no sirvió de nada, dice la clienta.",
+    "El error volvió después de veinte minutos. El caso está con el equipo técnico y el cargo corresponde al plan anual.",
+    "Quien escucha al grupo ve dos veces la biblioteca. En el pueblo todavía falta el disco en el catálogo.",
+    "Abre los ajustes y revisa la emisora en el altavoz del salón. La versión nueva arregla la vista de letras.",
+    "La invitación al plan familiar tardó cinco días en llegar. Mejor resumir una vez como a un amigo.",
+    "Déconnectez-vous puis redémarrez le poste de la voiture. Hélas, cela n'a rien changé, dit notre équipe.",
+    "L'erreur est revenue après dix minutes. Le dossier est chez l'équipe, le montant concerne le forfait famille.",
+    "Ceux qui écoutent ce groupe voient la liste en double. Le disque manque toujours au catalogue de la ville.",
+    "Ouvrez les réglages et vérifiez la file d'attente sur le téléviseur. La version neuve corrige la radio.",
+    "L'invitation au mois d'essai a mis trente jours à venir, et la cliente attend encore une réponse du service.",
+]
+
+#: Natural prose that reports or quotes residue; it counts as prose.
+REPORTS = [
+    "The app told me to enable JavaScript, which I had, and the queue still shows an empty page on my tablet.",
+    "The web player told me to enable JavaScript, which I had, and the library still lost half my songs.",
+    "I get a 404 on the voucher link from your mail, what now? I get a 404 on the button link, can you fix it?",
+    "It says access denied on my old laptop whenever I open the report. It says access denied on my phone whenever I refresh it.",
+    "The page not found screen has a nice drawing of my favourite band. The error page has a funny picture of a cat.",
+    "An error 503 came up every morning, but after ten minutes the device showed up. An error 500 came up since yesterday, but now it works.",
+    "Someone wrote lorem ipsum into the playlist title, funny. My colleague left lorem ipsum in the album title, that made me laugh.",
+    "Sample: my favourite band at twenty percent volume. The sample text on the card was wrong, please correct it.",
+    "I saw a message that the server was overloaded and then the songs came back. The site was down for maintenance last night, is it over?",
+    "They answered that cookies must be on, so I turned them on and nothing changed for me.",
+    "Der Player sagt, ich soll JavaScript aktivieren, aber das habe ich längst getan. Ich bekomme einen 404 beim Link aus eurer Mail.",
+    "El reproductor me pide activar JavaScript, que ya tenía, y la cola sigue vacía. Me sale un 404 en el enlace del correo.",
+    "Le lecteur me demande d'activer JavaScript, ce que j'avais fait, et la file reste vide. J'ai une erreur 404 sur le lien du mail.",
+]
+
+#: Sentences whose blank was left unfilled; ``~`` stands for the blank.
+UNFILLED = [
+    "Hello ~, thank you for writing about ~.",
+    "Dear ~, we will answer by ~. Hi ~, your order is on its way.",
+    "Your reference is ~. It renews on ~. Total: ~. Regards, ~.",
+    "See ~. Your plan ~ ends on ~. We charged ~ to your card.",
+    "Hola ~, gracias por escribir. Bonjour ~, merci pour votre message. Hallo ~, danke für deine Nachricht.",
+    "We will answer by ~. Kind regards, ~. Sincerely, ~",
+    "Ask ~ account desk to restore the small queue. Keep the ~ invitation until the team answers.",
+    "I pay 9.99 and the phone still shows an empty ~ Version 8 brings a small update.",
+    "Nobody ~ the device group could remove the voucher by hand. The case was closed ~ noon.",
+    "La invitación al plan ~ tardó cinco días. Der ~ liegt beim Team. L'erreur est ~ après dix minutes.",
+]
+
+#: Sentences that report or quote a blank; ``~`` stands for it.
+QUOTED = [
+    "Your mail greeted me as ~, please fix the greeting.",
+    "Your letter called me ~, is that a joke? My name was missing in your mail.",
+    "The mail I got says ~ instead of my name, please fix it.",
+    "I received a message that starts with ~, looks like a bug in your template.",
+    "The subject line of your mail read ~, please correct the greeting.",
+    "Why does your newsletter greet me as ~? The screen shows ~ where my name should be.",
+    "Write ~ in the template to insert the name. The placeholder ~ was printed in the mail as it is.",
+    "Eure Mail begrüßt mich mit ~, bitte korrigiert das. Vuestro correo me saluda como ~. Votre mail m'appelle ~, merci de corriger.",
+]
