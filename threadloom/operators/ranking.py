@@ -1,4 +1,4 @@
-"""Positions within groups of any size."""
+"""Positions and running totals within groups of any size."""
 
 from __future__ import annotations
 
@@ -11,26 +11,33 @@ from pyspark.sql.window import Window
 from threadloom.workspace import Workspace, temporary_name
 
 
-def rank_within(df: DataFrame, group: str, order: Sequence[Column], name: str = "pos", partitions: int | None = None) -> DataFrame:
-    """``df`` with ``name``, the position from 1 of every row within its group by ``order``.
+def running_total(df: DataFrame, group: str, order: Sequence[Column], value: Column, name: str, partitions: int | None = None) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over the rows of its group up to and with this one by ``order``.
 
-    Rows are range partitioned by group and order, numbered within their slice, and shifted by the sizes of the group's earlier
-    slices. A group may exceed any task: its rows spread over as many slices as it needs, and only groups that cross a slice
-    boundary, at most one per boundary, enter the table of shifts. Equal rows get different positions; a null group is a group.
+    Rows are range partitioned by group and order, summed within their slice, and shifted by the sums of the group's earlier slices.
+    A group may exceed any task: its rows spread over as many slices as it needs, and only groups that cross a slice boundary, at
+    most one per boundary, enter the table of shifts. Rows equal in ``order`` follow one another in any order; nulls in ``value``
+    count nothing; a null group is a group. Empty input gives an empty result.
     """
-    work = Workspace(df.sparkSession, "rank")
+    work = Workspace(df.sparkSession, "ranking")
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    piece, place, shift = (temporary_name(df.columns, x) for x in ("_slice", "_place", "_shift"))
+    piece, own, amount, shift = (temporary_name(df.columns, x) for x in ("_slice", "_own", "_amount", "_shift"))
     keys = [temporary_name(df.columns, f"_o{i}") for i in range(len(order))]
-    sliced = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)])
+    sliced = df.select("*", F.coalesce(value, F.lit(0)).alias(amount), *[c.alias(k) for c, k in zip(order, keys, strict=True)])
     sliced = work.save(sliced.repartitionByRange(n, F.col(group), *[F.col(k) for k in keys]).withColumn(piece, F.spark_partition_id()))
-    sizes = sliced.groupBy(group, piece).count()
-    ends = sliced.groupBy(piece).agg(F.min_by(F.struct(group), F.struct(group)).alias("_a"), F.max_by(F.struct(group), F.struct(group)).alias("_b"))
-    edge = ends.select(F.explode(F.array("_a", "_b")).alias("_g")).select(F.col(f"_g.{group}").alias(group)).groupBy(group).count().where("count > 1").select(group)
-    crossing = sizes.join(F.broadcast(edge.withColumnRenamed(group, "_e")), F.col(group).eqNullSafe(F.col("_e")), "left_semi")
-    upto = F.sum("count").over(Window.partitionBy(group).orderBy(piece)) - F.col("count")
-    shifts = work.save(crossing.select(F.col(group).alias("_g"), F.col(piece).alias("_p"), upto.alias(shift)))
-    numbered = sliced.withColumn(place, F.row_number().over(Window.partitionBy(piece, group).orderBy(*keys)))
+    sizes = sliced.groupBy(F.col(group).alias("_g"), F.col(piece).alias("_p")).agg(F.sum(amount).alias("_size"))
+    spread = Window.partitionBy("_g")
+    # One row per group and slice; groups of one slice go before anything is broadcast.
+    crossing = sizes.withColumn("_n", F.count("*").over(spread)).where("_n > 1")
+    shifts = work.save(crossing.select("_g", "_p", (F.sum("_size").over(spread.orderBy("_p")) - F.col("_size")).alias(shift)))
+    within = Window.partitionBy(piece, group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    summed = sliced.withColumn(own, F.sum(amount).over(within))
     # The table of shifts has at most two rows per slice.
-    moved = numbered.join(F.broadcast(shifts), F.col(group).eqNullSafe(F.col("_g")) & (F.col(piece) == F.col("_p")), "left")
-    return moved.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(place) + F.coalesce(shift, F.lit(0))).cast("int").alias(name))
+    moved = summed.join(F.broadcast(shifts), F.col(group).eqNullSafe(F.col("_g")) & (F.col(piece) == F.col("_p")), "left")
+    return moved.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(own) + F.coalesce(shift, F.lit(0))).alias(name))
+
+
+def rank_within(df: DataFrame, group: str, order: Sequence[Column], name: str = "pos", partitions: int | None = None) -> DataFrame:
+    """``df`` with ``name``, the position from 1 of every row within its group by ``order``; as :func:`running_total` of ones."""
+    ranked = running_total(df, group, order, F.lit(1), name, partitions)
+    return ranked.withColumn(name, F.col(name).cast("int"))
