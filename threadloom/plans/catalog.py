@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.plans import problems
+from threadloom.plans import pipeline, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**pipeline.QUERIES, **problems.QUERIES}
+SQL = {**pipeline.SQL, **problems.SQL}
