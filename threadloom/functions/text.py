@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -116,6 +116,11 @@ def audit_redacted(c: Column, limit: int = 500) -> Column:
     return F.substring(out, 1, limit)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once per row: the optimizer would copy it to every place of use, also into loops."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def char_shingles(c: Column, size: int) -> Column:
     """All distinct substrings of a length; a shorter text is its own shingle."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - size + 1)), lambda i: F.substring(c, i, F.lit(size))))

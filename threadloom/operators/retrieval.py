@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.functions.text import once
+
 
 def terms(text: Column, ngrams: int = 2) -> Column:
     """Words of at least two letters or digits, lower case, and runs of up to ``ngrams`` of them."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\b\w\w+\b)"), 1)
-    out = words
-    for n in range(2, ngrams + 1):
-        out = F.concat(out, _runs(words, n))
-    return out
+    return once(words, lambda w: F.concat(w, *[_runs(w, n) for n in range(2, ngrams + 1)]))
 
 
 def _runs(words: Column, n: int) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from threadloom.functions.text import char_shingles
+from threadloom.functions.text import char_shingles, once
+from threadloom.workspace import Workspace
 
 
 def exact_groups(df: DataFrame, record: Column, form: Column) -> DataFrame:
@@ -58,11 +59,16 @@ def near_pairs(texts: DataFrame, threshold: float = 0.92, **options: int) -> Dat
     return found.repartition("left_id").withColumn("similarity", matched_ratio("left_form", "right_form")).where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
 
 
-def word_shingles(text: Column, words: int = 5) -> tuple[Column, Column]:
-    """The words of a text, and, over a column ``_w`` of words, distinct hashes of all runs of ``words`` words; none for shorter texts."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(F.col("_w"), i, words), " ")))
-    return w, F.when(F.size("_w") >= words, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+def word_shingles(text: Column, words: int = 5) -> Column:
+    """Distinct hashes of all runs of ``words`` words, sorted; none for shorter texts."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+    def runs(w: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1)))
+        hashes = F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(w, i, words), " ")))
+        return F.when(F.size(w) >= words, F.array_sort(F.array_distinct(hashes))).otherwise(F.array().cast("array<bigint>"))
+
+    return once(tokens, runs)
 
 
 def jaccard_pairs(df: DataFrame, record: Column, text: Column, threshold: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -73,12 +79,13 @@ def jaccard_pairs(df: DataFrame, record: Column, text: Column, threshold: float
     their first ``n - ceil(t n) + 1`` shingles, so common shingles meet only where no rarer one can. No pair is lost and no
     bucket is capped. Texts of fewer words than a shingle have no partners.
     """
-    tokens, runs = word_shingles(text, words)
-    rows = df.select(record.alias("record_id"), tokens.alias("_w")).select("record_id", F.array_sort(runs).alias("s")).where("size(s) > 0")
+    work = Workspace(df.sparkSession, "jaccard")
+    rows = df.where(text.isNotNull()).select(record.alias("record_id"), word_shingles(text, words).alias("s")).where("size(s) > 0")
     keyed = rows.select("record_id", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256).alias("_k"), "s")
+    keyed = work.save(keyed)
     classes = keyed.groupBy("_k").agg(F.min_by("s", "record_id").alias("s"), F.min("record_id").alias("class_id"))
     membership = keyed.select("record_id", "_k").join(classes.select("_k", "class_id"), "_k").select("record_id", "class_id")
-    sets = classes.select("class_id", "s", F.size("s").alias("n"))
+    sets = work.save(classes.select("class_id", "s", F.size("s").alias("n")))
     exploded = sets.select("class_id", "n", F.explode("s").alias("h"))
     frequency = exploded.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # A shingle of one class only can match nothing, but it still takes a place in the prefix: it is the rarest.

@@ -207,12 +207,12 @@ def relationship_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_THREADS}, {_ROLLUP} SELECT CAST(root_label AS VARCHAR) AS thread_id, messages, inbound_messages, outbound_messages, support_messages, array_to_string(others, ',') AS others,
-  epoch_us(started) AS started_us, epoch_us(ended) AS ended_us, conflict AS conflicting_duplicates FROM per""")
+  CAST(epoch_us(started) AS VARCHAR) AS started_us, CAST(epoch_us(ended) AS VARCHAR) AS ended_us, conflict AS conflicting_duplicates FROM per""")
 def thread_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, authors and time span of every relevant thread."""
     m = _messages(spark, folder)
     out = extraction.rollup(m, _members(m), AUTHOR)
-    return out.select("thread_id", "messages", "inbound_messages", "outbound_messages", "support_messages", _joined(F.col("other_outbound_authors")).alias("others"), F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"), "conflicting_duplicates")
+    return out.select("thread_id", "messages", "inbound_messages", "outbound_messages", "support_messages", _joined(F.col("other_outbound_authors")).alias("others"), F.unix_micros("started_at").cast("string").alias("started_us"), F.unix_micros("ended_at").cast("string").alias("ended_us"), "conflicting_duplicates")
 
 
 @query(f"""WITH RECURSIVE {_THREADS}, sizes AS (SELECT count(*) AS n FROM members GROUP BY root_label)
@@ -286,7 +286,7 @@ def redaction_totals(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(*[F.sum(steps[k]).cast("bigint").alias(k) for k in ("email", "phone", "brand_handle", "long_number")])
 
 
-_FORM = f"trim(regexp_replace(lower(nfc_normalize(customer_text_normalized)), '{_SPACES}', ' ', 'g'), ' ')"
+_FORM = f"trim(regexp_replace(replace(lower(nfc_normalize(customer_text_normalized)), 'º', 'o'), '{_SPACES}', ' ', 'g'), ' ')"
 _EX = f"lower({_t('support_examples.example_id')})"
 _FORMS = f"forms AS (SELECT {_FORM} AS form, min({_EX}) AS representative, count(DISTINCT {_EX}) AS copies FROM support_examples GROUP BY 1)"
 _SHINGLED = f"""{_FORMS},
