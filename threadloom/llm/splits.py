@@ -28,6 +28,7 @@ def units(records: DataFrame, record: Column, keys: Sequence[Column], time: Colu
     work = Workspace(records.sparkSession, "units")
     tagged = F.array_compact(F.array(*[F.when(k.isNotNull(), F.concat(F.lit(f"{i}"), k)) for i, k in enumerate(keys)]))
     rows = records.select(record.alias("record_id"), tagged.alias("_keys"), (time if time is not None else F.lit(None).cast("timestamp")).alias("_time")).where("record_id is not null")
+    rows = work.save(rows)  # ids are put in plain form once
     stated = rows.where("size(_keys) > 0").select("record_id", F.array_min("_keys").alias("_low"), "_keys", "_time")
     # Two rows of one record are tied through the record's smallest key.
     per = work.save(rows.groupBy("record_id").agg(F.min(F.array_min("_keys")).alias("_key"), F.max("_time").alias("ends"), F.count_if(F.size("_keys") > 0).alias("_n")))
