@@ -17,9 +17,10 @@ def running_total(df: DataFrame, group: str, order: Sequence[Column], value: Col
     Rows are range partitioned by group and order, summed within their slice, and shifted by the sums of the group's earlier slices.
     A group may exceed any task: its rows spread over as many slices as it needs, and only groups that cross a slice boundary, at
     most one per boundary, enter the table of shifts. Rows equal in ``order`` follow one another in any order; nulls in ``value``
-    count nothing; a null group is a group. Empty input gives an empty result.
+    count nothing; a null group is a group; a column called ``name`` gives way. Empty input gives an empty result.
     """
     work = Workspace(df.sparkSession, "ranking")
+    df = df.drop(name)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     piece, own, amount, shift = (temporary_name(df.columns, x) for x in ("_slice", "_own", "_amount", "_shift"))
     keys = [temporary_name(df.columns, f"_o{i}") for i in range(len(order))]
