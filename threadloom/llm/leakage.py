@@ -56,11 +56,12 @@ def item_names(texts: list[str | None]) -> set[str]:
     """Words that items write with a capital inside a sentence and never without: taken as names, whatever their case elsewhere."""
     upper, lower = set(), set()
     for text in texts:
-        for m in re.finditer(r"([^\s]*)\s+([^\W_]+)|^([^\W_]+)", text or ""):
-            w = m.group(2) or ""
-            if w[:1].isupper() and not w.isupper() and re.search(r"[^\W_,]$|,$", m.group(1) or ""):
+        for m in _WORD.finditer(text or ""):
+            w, before = m.group(), text[: m.start()].rstrip()[-1:]
+            inside = before.isalnum() or before in (",", ";")
+            if inside and w[0].isupper() and not w.isupper():
                 upper.add(w.lower())
-            elif w:
+            elif w[0].islower():
                 lower.add(w.lower())
     return upper - lower
 
@@ -128,7 +129,7 @@ class Index:
                     keys.append(key)
                     hashes.append(h[i])
                     found.append(" ".join(tokens[at[i] : at[i] + self.span]))
-            yield pd.DataFrame({"_key": pd.Series(keys, dtype=batch["_key"].dtype), "_hash": pd.Series(hashes, dtype="int64"), "_doc_words": pd.Series(found, dtype="object")})
+            yield pd.DataFrame({"_key": pd.Series(keys, dtype=batch["_key"].dtype if batch["_key"].dtype.kind == "i" else "object"), "_hash": pd.Series(hashes, dtype="int64"), "_doc_words": pd.Series(found, dtype="object")})
 
 
 def leaked_windows(documents: DataFrame, doc: Column, text: Column, items: DataFrame, item: Column, item_text: Column, span: int = 10, block: int = 2000) -> DataFrame:

@@ -338,13 +338,14 @@ def redact(text: str, marks: list[tuple[int, int, str]]) -> str:
 
 
 def personal_data(rows: DataFrame, text: Column, sentences: int = 5000) -> DataFrame:
-    """The columns of ``rows`` and ``kind``: one row per row and kind of personal data in its text.
+    """The columns of ``rows`` and ``kind``: one row per row and kind of personal data in its text. A column called ``kind`` gives way.
 
     Null and empty texts have none; texts are read whole; equal texts give equal kinds. The model is trained on the driver from the
     labelled table and travels with the plan, a few megabytes whatever the data. One pass, no shuffle.
     """
     model = trained(sentences)
     weights, steps = model.weights.astype(np.float16), model.steps
+    rows = rows.drop("kind")
     names = rows.columns
     put = next(n for n in ("_text", "__text", "___text") if n not in names)
 
@@ -358,7 +359,8 @@ def personal_data(rows: DataFrame, text: Column, sentences: int = 5000) -> DataF
                 for kind in dict.fromkeys(k for _, _, k in m):
                     at.append(i)
                     kinds.append(kind)
-            yield batch[names].iloc[at].assign(kind=kinds)
+            if at:  # Arrow takes no column of text without a chunk
+                yield batch[names].iloc[at].assign(kind=kinds)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
     return rows.withColumn(put, text).where(F.col(put).isNotNull()).mapInPandas(scan, f"{schema}, kind string")

@@ -28,7 +28,7 @@ _DIGIT = re.compile(r"\d")
 #: Forms of unfilled blanks, the exact check after the models. ``[EMAIL]`` and the like, single bracketed words, are none.
 _FIELD = r"[A-Za-z][A-Za-z0-9]*(?:[ _.\-][A-Za-z0-9]+){0,4}"
 BLANK = re.compile(
-    rf"""\{{\{{\s*#?/?{_FIELD}\s*\}}\}} | \{{%-?\s*{_FIELD}\s*-?%\}} | <%[=\-]?\s*{_FIELD}\s*-?%> | \*\|\s*{_FIELD}\s*\|\* | <<\s*{_FIELD}\s*>> | \[\[\s*{_FIELD}\s*\]\]
+    rf"""\{{\{{\s*\#?/?{_FIELD}\s*\}}\}} | \{{%-?\s*{_FIELD}\s*-?%\}} | <%[=\-]?\s*{_FIELD}\s*-?%> | \*\|\s*{_FIELD}\s*\|\* | <<\s*{_FIELD}\s*>> | \[\[\s*{_FIELD}\s*\]\]
       | \$\{{\s*{_FIELD}\s*\}} | \#\{{\s*{_FIELD}\s*\}} | \#(?!\d+\#){_FIELD}\# | %%{_FIELD}%% | @@{_FIELD}@@ | (?<![\w_])__{_FIELD}__(?![\w_]) | %\({_FIELD}\)[sd] | %\d+\$[sd] | (?<![\w%])%[sd](?!\w)
       | \{{\d+\}} | \{{\s*{_FIELD}\s*\}} | (?<!\w)XX_\w+_XX(?!\w) | _{{4,}}\s*\((?:{_FIELD})\) | (?<!\w)_{{5,}}(?!\w)
       | \[(?:insert|enter|your|add|fill\ in|type|put)\s[^\[\]\n]{{1,40}}\] | \[[^\[\]\n]{{1,40}}\shere\] | (?<!\w)TODO:?\s*(?:fill|insert|add|enter|write|complete|replace)\b[^.\n]{{0,40}}
@@ -108,15 +108,15 @@ class ResidueModel:
 
     ``window`` characters make a likelihood-ratio window. A filler passage is a run of windows for filler of at least
     ``filler_run`` characters whose mean ratio is at least ``filler_ratio``, or filler over ``page_cover`` of a short text. A page or
-    notice covers ``page_cover`` of its text with windows for notice.
+    notice covers ``page_cover`` of its text with windows for notice, at a mean ratio of at least ``page_ratio``.
     """
 
-    def __init__(self, window: int = 24, filler_run: int = 30, filler_ratio: float = 0.6, page_cover: float = 0.7):
+    def __init__(self, window: int = 24, filler_run: int = 30, filler_ratio: float = 0.6, page_cover: float = 0.7, page_ratio: float = 0.18):
         filler, notice, prose = NgramModel(seeds.FILLER), NgramModel(seeds.NOTICE), NgramModel(seeds.PROSE + seeds.REPORTS)
         self.filler = Ratio(filler, prose)
         self.notice = Ratio(notice, prose)
         self.unfilled = Ratio(NgramModel(seeds.UNFILLED), NgramModel(seeds.QUOTED))
-        self.window, self.filler_run, self.filler_ratio, self.page_cover = window, filler_run, filler_ratio, page_cover
+        self.window, self.filler_run, self.filler_ratio, self.page_cover, self.page_ratio = window, filler_run, filler_ratio, page_cover, page_ratio
 
     def kinds(self, text: str) -> tuple[bool, bool, bool]:
         """Whether the text has an unfilled blank, a filler passage, and is a page or notice."""
@@ -154,7 +154,7 @@ class ResidueModel:
 
     def page(self, codes: np.ndarray) -> bool:
         score = self.notice.per_char(codes)
-        return bool((_windowed(score, self.window) > 0).mean() >= self.page_cover)
+        return bool((_windowed(score, self.window) > 0).mean() >= self.page_cover and score.mean() >= self.page_ratio)
 
 
 def residue(documents: DataFrame, doc: Column, text: Column) -> DataFrame:

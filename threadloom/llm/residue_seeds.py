@@ -16,6 +16,8 @@ FILLER = [
     "Placeholder paragraph, replace before publishing. Placeholder paragraph, replace before publishing. This is placeholder text. Placeholder.",
     "Content coming soon. Content coming soon. Content coming soon. Text to follow. Copy to follow. Coming soon. Coming soon.",
     "Dummy text. Dummy text for layout only. Filler text. Filler copy. Blindtext. Blindtext. Platzhaltertext. Texto de relleno. Texte de remplissage.",
+    "Hier steht später der Text. Hier kommt Ihr Text hin. Platzhalter, bitte ersetzen. Text folgt in Kürze. Überschrift hier einfügen. Mustertext. Hier steht dein Text.",
+    "Aquí va el texto. Escribe aquí tu texto. Texto de ejemplo. Texto por definir. Contenido próximamente. Votre texte ici. Texte à remplacer. Texte à venir. Insérer le texte ici. Headline goes here. Subtitle goes here.",
     "TBD\ndescription tbd, owner tbd, date tbd\ntitle tbd, link tbd, author tbd",
     "TBD\n- item one\n- item two\n- item three\n- item four\n- point one\n- point two",
     "TBD\ntbc tbc tbc tbc tbc tbc\ntbd tbd tbd tbd tbd tbd\ntba tba tba tba",
@@ -32,6 +34,7 @@ FILLER = [
 NOTICE = [
     "HTTP 404\nupstream did not answer in time",
     "HTTP 502\nBad gateway\nThe upstream server did not answer.",
+    "504 Not Found\nThe page at www.example.org could not be located. The page at help.example.org could not be reached.",
     "404 Not Found. The requested URL was not found on this server.",
     "403 Forbidden. You don't have permission to access this resource. Access denied.",
     "500 Internal Server Error. Something went wrong on our side. Please try again later.",
@@ -97,6 +100,7 @@ PROSE = [
     "Please copy your permission on request, reset the update without warning and tell the device group at the weekend.",
     "Once the neighbour borrows the ladder, a patient baker who paints bicycles at dawn also counts every chorus.",
     "A good reply would apologise by name and offer a slower route, given that the tone had soured that evening.",
+    "If instead the storm covers the signal, better confirm in plain words, for the loan ended under another title in the evening.",
     "Suppose a young teacher loses the tickets before breakfast; should one explain once and stay on the line?",
     "Reply sent to [CUSTOMER], link [URL] kept for the desk. Contact on file: [EMAIL], [PHONE]; a refund was sent.",
     "The tracks named [live] and (demo) have no sound on the old laptop. I asked a friend to check and he heard it.",
