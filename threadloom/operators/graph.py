@@ -32,8 +32,8 @@ def connected_components(edges: DataFrame, left: str = "src", right: str = "dst"
     for _ in range(max_rounds):
         live = current.where("src > dst")
         # dst < src always, so a node hooks to its smallest neighbour exactly when it stands on the src side.
-        hooks = work.save(live.groupBy("src").agg(F.min("dst").alias("label")).withColumnRenamed("src", "node"))
-        if hooks.isEmpty():
+        hooks, seen = work.save_and_count(live.groupBy("src").agg(F.min("dst").alias("label")).withColumnRenamed("src", "node"), some=F.lit(True))
+        if not seen["some"]:
             break
         flat = _jumped(work, hooks)
         a, b = flat.select(F.col("node").alias("src"), F.col("label").alias("_ls")), flat.select(F.col("node").alias("dst"), F.col("label").alias("_ld"))
@@ -74,11 +74,12 @@ def _jumped(work: Workspace, hooks: DataFrame) -> DataFrame:
             # A pointer at rest ends at a root, which is not a node of the table; one that ends at a node at rest moves once more.
             for x in done:
                 up = up.unionByName(x.select(F.col("node").alias("label"), F.col("label").alias("_up")))
-        step = work.save(moving.join(up, "label", "left").select("node", F.coalesce("_up", "label").alias("label"), F.col("_up").isNotNull().alias("_moved")))
+        step = moving.join(up, "label", "left").select("node", F.coalesce("_up", "label").alias("label"), F.col("_up").isNotNull().alias("_moved"))
+        step, seen = work.save_and_count(step, moved=F.col("_moved"))
         rest = step.where("not _moved").select("node", "label")
         still = step.where("_moved").select("node", "label")
         done.append(rest)
-        if still.isEmpty():
+        if not seen["moved"]:
             break
         moving = still
     out = done[0]
@@ -138,13 +139,12 @@ def _climb(work: Workspace, links: DataFrame, with_path: bool) -> tuple[list[Dat
                 *([F.when(F.col("_trail").isNull(), F.col("trail")).otherwise(F.concat("_trail", "trail")).alias("trail")] if with_path else []),
             )
         )
-        step = work.save(step)
+        step, seen = work.save_and_count(step, left=~F.col("done"), newly=F.col("done"))
         resolved = step.where("done")
         parts.append(resolved.select("node", F.col("up").alias("root"), F.col("dist").alias("depth"), F.lit(0).alias("in_cycle"), *([F.concat(F.array("up"), "trail").alias("path")] if with_path else [])))
-        open_, newly = step.groupBy().agg(F.count_if(~F.col("done")), F.count_if("done")).first()
-        if not open_:
+        if not seen["left"]:
             return parts, None
-        if not newly:
+        if not seen["newly"]:
             parts.pop()
             stuck = step.select("node").join(links, "node", "inner")
             return parts, work.save(stuck)
@@ -173,15 +173,14 @@ def _cycles(work: Workspace, links: DataFrame, with_path: bool) -> list[DataFram
         state = work.save(_doubled(state))
     ring = work.save(state.join(reached, "node", "left_semi"))
     while True:
-        after = work.save(_doubled(ring, keep=True))
-        changed = not after.where("low <> _low").isEmpty()
+        after, seen = work.save_and_count(_doubled(ring, keep=True), changed=F.col("low") != F.col("_low"))
         ring = after.drop("_low")
-        if not changed:
+        if not seen["changed"]:
             break
     on = ring.select("node", F.col("low").alias("root"))
     parts = [on.select("node", "root", F.lit(0).alias("depth"), F.lit(1).alias("in_cycle"), *([F.array("node").alias("path")] if with_path else []))]
-    tails = work.save(links.join(on.select("node"), "node", "left_anti"))
-    if not tails.isEmpty():
+    tails, seen = work.save_and_count(links.join(on.select("node"), "node", "left_anti"), some=F.lit(True))
+    if seen["some"]:
         climbed, _ = _climb(work, tails, with_path)
         low = on.select(F.col("node").alias("root"), F.col("root").alias("_low"))
         for x in climbed:

@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,19 +35,26 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
         atexit.register(self.clear)
 
-    def save(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    def save(self, df: DataFrame) -> DataFrame:
+        """``df`` as written and read back."""
         path = self.path()
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        # Parquet relaxes nullability, and a given schema saves the job that would infer it.
+        df.write.option("compression", "zstd").parquet(path)
+        # A given schema saves the job that would infer it.
         back = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(back)] = path
         back._threadloom_path = path
         return back
 
+    def save_and_count(self, df: DataFrame, **conditions: Column) -> tuple[DataFrame, dict[str, int]]:
+        """``save``, and how many rows meet each condition, observed while they are written instead of by another job.
+
+        A stage that runs again after a loss may observe rows twice: good for telling none from some.
+        """
+        seen = Observation()
+        back = self.save(df.observe(seen, *[F.count_if(c).alias(k) for k, c in conditions.items()]))
+        return back, seen.get
+
     def path(self) -> str:
         self.count += 1
         return f"{self.root}/{self.count:04d}"
