@@ -29,7 +29,7 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]
 
 _GIVEN = {x.lower() for x in seeds.GIVEN}
 _STREET = set(
-    "street road lane close drive avenue terrace way hill court row place square crescent grove gardens boulevard st rd ave ln dr straße strasse str gasse weg allee platz rue impasse quai chemin allée avenida calle plaza paseo camino ronda travesía box postfach apartado bp".split()
+    "street road lane close drive avenue terrace way hill court row place square crescent grove gardens boulevard blvd avda st rd ave ln dr straße strasse str gasse weg allee platz rue impasse quai chemin allée avenida calle plaza paseo camino ronda travesía box postfach apartado bp".split()
 )
 _STREET_END = ("straße", "strasse", "str", "gasse", "weg", "allee", "platz")
 _PHONE_WORDS = set("tel call mobile phone text ring number sms whatsapp cell fax handy telefon teléfono nummer landline reach numéro ext".split())

@@ -70,7 +70,7 @@ PLAIN = [
 ]
 
 _STREETS = "Old Mill Harrow Foxglove Saltmarsh Quarrel Cinder Juniper Maple Hollow Rose Garden Station Church Park Victoria Queen King Green Bridge River Castle Orchard Meadow Chestnut Willow High Ferry Ember".split()
-_TYPES = "Street Road Lane Close Drive Avenue Terrace Way Hill Court Row Place Square Crescent Grove Gardens Boulevard St Rd Ave Ln Dr St. Rd. Ave.".split()
+_TYPES = "Street Road Lane Close Drive Avenue Terrace Way Hill Court Row Place Square Crescent Grove Gardens Boulevard Blvd St Rd Ave Ln Dr St. Rd. Ave.".split()
 _DE = "Gerber Bahnhof Schiller Haupt Garten Linden Kirch Markt Berg Mühlen Goethe Ring Hof Brücken Rosen".split()
 _DE_T = "straße strasse str. gasse weg allee platz".split()
 _FR = ["rue des Tilleuls", "impasse Corneille", "avenue du Vieux Moulin", "rue de la Gare", "boulevard Victor", "place du Marché", "chemin des Vignes", "rue Pasteur", "quai du Port", "allée des Roses"]
@@ -134,7 +134,7 @@ def id_number(r: random.Random) -> tuple[str, str]:
     d, up = lambda n: _digits(r, n), lambda n: "".join(r.choice("ABCDEFGHJKLMNPRSTVWXYZ") for _ in range(n))
     kind = r.choice(list(ID_CARRIERS))
     value = {
-        "ssn": lambda: r.choice([f"9{d(2)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"9{d(8)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)}.{d(2)}.{d(4)}"]),
+        "ssn": lambda: r.choice([f"9{d(2)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"9{d(8)}", f"9{d(8)}", f"{d(9)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)}.{d(2)}.{d(4)}"]),
         "nino": lambda: r.choice([f"QQ{d(6)}C", f"qq {d(2)} {d(2)} {d(2)} c", f"{up(2)} {d(2)} {d(2)} {d(2)} {up(1)}", f"{up(2)}{d(6)}{up(1)}"]),
         "tax": lambda: r.choice([f"0{d(1)} {d(3)} {d(3)} {d(3)}", f"{d(11)}", f"{d(2)}/{d(3)}/{d(5)}", f"{d(3)}-{d(3)}-{d(3)}", f"{d(2)} {d(3)} {d(3)} {d(3)}"]),
         "passport": lambda: r.choice([f"{up(1)}{d(7)}", f"{up(1)}{d(7)}{up(1)}", f"{up(1)}{d(2)}{up(1)}{d(5)}", f"{up(2)}{d(7)}", f"{d(9)}", f"{up(1)} {d(7)}"]),
@@ -152,6 +152,8 @@ def address(r: random.Random) -> str:
         name = " ".join(r.sample(_STREETS, r.choice([1, 1, 2])))
         if r.random() < 0.12:
             name = f"St. {r.choice(['Odo', 'John', 'Mary'])}'s"
+        if r.random() < 0.08:
+            name = f"{r.choice('NSEW')} {name}"
         out = f"{r.choice(['', '', '', 'Flat 3, ', 'Apt 4B, '])}{n} {name} {r.choice(_TYPES)}{r.choice(['', '', ', unit 12', ', Apt 4B', ', flat 2'])}"
     elif pick < 0.57:
         out = f"{r.choice([r.choice(_DE) + r.choice(_DE_T)] * 4 + ['Am Alten Markt', 'Am Bach', 'An der Mühle', 'Zum Hafen'])} {n}{r.choice(['', '', ' b', 'a'])}"
