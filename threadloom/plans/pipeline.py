@@ -662,3 +662,63 @@ def escalation_metrics(spark: SparkSession, folder: str) -> DataFrame:
 def mismatches(spark: SparkSession, folder: str) -> DataFrame:
     """Wrong predictions by true and predicted class."""
     return _judged(spark, folder).where("predicted is null or truth <> predicted").groupBy("truth", "predicted").agg(F.count("*").alias("n"))
+
+
+# -- expressions over whole tables ---------------------------------------------------------------------------------------------------
+
+
+@query(rf"""SELECT source_record, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[{_W}.+-]+@[{_W}.-]+\.[A-Za-z]{{2,}}', '[EMAIL]', 'g'), 'https?://\S+|www\.\S+', '[URL]', 'g'),
+  '(^|[^{_W}])@[A-Za-z0-9_]+', '\1[USER]', 'g'), '(^|[^{_W}])\+?\d[\d\s\p{{Z}}().-]{{7,}}\d(\b)', '\1[PHONE]', 'g'), '\b\d{{6,}}\b', '[NUMBER]', 'g'), 1, 500) AS text FROM records""")
+def audit_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Message texts as audit excerpts show them."""
+    return table(spark, folder, "records").select("source_record", text.audit_redacted(F.col("text")).alias("text"))
+
+
+@query(f"""SELECT DISTINCT {_EX} AS example_id, 'example_' || substring(sha256({_EX}), 1, 16) AS stable_id, sha256('{SEED}|training|' || {_EX}) AS rank,
+  'context_' || substring(sha256(array_to_string(list_sort(context_tweet_ids), chr(0))), 1, 16) AS context_id FROM support_examples""")
+def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """Stable ids of examples and of their contexts, and hash ranks."""
+    rows = table(spark, folder, "support_examples").select(ids.name_id(F.col("example_id")).alias("example_id"), "context_tweet_ids").distinct()
+    return rows.select("example_id", hashing.stable_id("example", F.array("example_id")).alias("stable_id"), hashing.rank_hash(SEED, "training", F.col("example_id")).alias("rank"), hashing.stable_id("context", F.col("context_tweet_ids")).alias("context_id")).distinct()
+
+
+@query(f"""WITH t AS (SELECT {_EX} AS example_id, list_append(context_created_at_utc, customer_created_at_utc) AS ts, content_start_at_utc AS s FROM support_examples)
+SELECT example_id, CAST(epoch_us(CASE WHEN len(list_filter(ts, lambda x: x IS NULL)) = 0 THEN list_min(ts) END) AS VARCHAR) AS first_us, len(ts) AS times, len(list_filter(ts, lambda x: x IS NULL)) AS unreadable FROM t""")
+def example_times(spark: SparkSession, folder: str) -> DataFrame:
+    """First of all times of an example, null if any is missing, and how many are."""
+    all_times = F.concat("context_created_at_utc", F.array("customer_created_at_utc"))
+    gone = F.size(F.filter(all_times, lambda x: x.isNull()))
+    return table(spark, folder, "support_examples").select(ids.name_id(F.col("example_id")).alias("example_id"), F.when(gone == 0, F.unix_micros(F.array_min(all_times))).cast("string").alias("first_us"), F.size(all_times).cast("bigint").alias("times"), gone.cast("bigint").alias("unreadable"))
+
+
+@query(f"""SELECT {_EX} AS example_id, CAST(unnest(range(1, len(context_tweet_ids) + 1)) AS INTEGER) AS pos, unnest(context_tweet_ids) AS tweet_id, unnest(context_author_ids) AS author_id, unnest(context_inbound) AS inbound FROM support_examples""")
+def context_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """The parallel arrays of every context as rows."""
+    zipped = F.arrays_zip("context_tweet_ids", "context_author_ids", "context_inbound")
+    rows = table(spark, folder, "support_examples").select(ids.name_id(F.col("example_id")).alias("example_id"), F.posexplode(zipped).alias("_p", "c"))
+    return rows.select("example_id", (F.col("_p") + 1).alias("pos"), F.col("c.context_tweet_ids").alias("tweet_id"), F.col("c.context_author_ids").alias("author_id"), F.col("c.context_inbound").alias("inbound"))
+
+
+@query(f"""SELECT flag, count(*) AS n, count(DISTINCT e) AS examples FROM (SELECT {_EX} AS e, unnest(quality_flags) AS flag FROM support_examples) GROUP BY flag""")
+def quality_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Histogram of the quality flags of examples."""
+    rows = table(spark, folder, "support_examples").select(ids.name_id(F.col("example_id")).alias("e"), F.explode("quality_flags").alias("flag"))
+    return rows.groupBy("flag").agg(F.count("*").alias("n"), F.count_distinct("e").alias("examples"))
+
+
+@query("""SELECT count(DISTINCT form) AS texts, count(DISTINCT form) FILTER (WHERE copies > 1) AS exact_groups, CAST(coalesce(sum(copies) FILTER (WHERE copies > 1), 0) AS BIGINT) AS in_exact_groups,
+  CAST(coalesce(sum(copies) FILTER (WHERE length(form) < 24), 0) AS BIGINT) AS too_short FROM forms""".join([f"WITH {_FORMS} ", ""]))
+def duplicate_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct texts, exact groups, their members, and examples too short for near matching."""
+    rows = _forms(spark, folder)
+    return rows.agg(
+        F.count("*").alias("texts"), F.count_if(F.col("copies") > 1).alias("exact_groups"), F.coalesce(F.sum(F.when(F.col("copies") > 1, F.col("copies"))), F.lit(0)).alias("in_exact_groups"),
+        F.coalesce(F.sum(F.when(F.length("form") < 24, F.col("copies"))), F.lit(0)).alias("too_short"),
+    )
+
+
+@query(r"""SELECT doc_id, len(list_distinct(w)) AS words FROM (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(lower(strip_accents(text)), '\[[A-Z_]+\]', ' ', 'g'), '\s+', ' ', 'g'), '[\p{L}\p{N}_]{2,}') AS w FROM documents WHERE text IS NOT NULL)""")
+def plain_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct words of every document without accents."""
+    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", text.unaccented(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size(F.array_distinct(retrieval.terms(F.col("t"), 1))).cast("bigint").alias("words"))
