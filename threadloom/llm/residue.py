@@ -35,6 +35,8 @@ BLANK = re.compile(
       | <(?!/)(?:{_FIELD})>""",
     re.X | re.I,
 )
+#: Every form of a blank holds one of these.
+_MARKS = re.compile(r"[{%<*$#@_]|\[\[|\[[^\W\d_]|TODO", re.I)
 #: Names of markup elements. Angle brackets around one are markup, unless the element makes no sense without attributes or should be
 #: closed and is not.
 TAGS = frozenset("a abbr article aside audio b big blockquote body br button center cite code col dd del details div dl dt em embed figure font footer form frame h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins label legend li link main map mark menu meta nav noscript object ol option p param picture pre q s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr".split())
@@ -55,17 +57,17 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
-def _grams(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hashed n-grams that end at each place; the first n - 1 places have none."""
-    if len(codes) < n:
-        return np.zeros(0, dtype=np.int64)
-    h = np.zeros(len(codes) - n + 1, dtype=np.uint64)
+def _grams(codes: np.ndarray) -> list[np.ndarray]:
+    """For each order, the hashed n-grams that end at each place from the n-th on; one running hash serves all orders."""
+    out = []
     with np.errstate(over="ignore"):
-        for k in range(n):
-            h = (h + codes[k : len(codes) - n + 1 + k] + np.uint64(1)) * _MULT
+        h = np.zeros(len(codes), dtype=np.uint64)
+        for n in range(1, ORDERS[-1] + 1):
+            h = (h[: len(codes) - n + 1] + codes[n - 1 :] + np.uint64(1)) * _MULT if len(codes) >= n else h[:0]
             h ^= h >> np.uint64(29)
-        h *= _MULT
-    return (h >> np.uint64(64 - _BITS)).astype(np.int64)
+            if n in ORDERS:
+                out.append(((h * _MULT) >> np.uint64(64 - _BITS)).astype(np.int64))
+    return out
 
 
 class NgramModel:
@@ -73,10 +75,11 @@ class NgramModel:
 
     def __init__(self, texts: Sequence[str]):
         self.tables = []
-        for n in ORDERS:
+        found = [_grams(_codes(text)) for text in texts]
+        for k in range(len(ORDERS)):
             counts = np.zeros(1 << _BITS)
-            for text in texts:
-                np.add.at(counts, _grams(_codes(text), n), 1.0)
+            for grams in found:
+                np.add.at(counts, grams[k], 1.0)
             counts *= _TOTAL / max(1.0, counts.sum())
             self.tables.append(np.log(counts + _ALPHA).astype(np.float32))
 
@@ -87,10 +90,9 @@ class Ratio:
     def __init__(self, own: NgramModel, other: NgramModel):
         self.tables = [a - b for a, b in zip(own.tables, other.tables, strict=True)]
 
-    def per_char(self, codes: np.ndarray) -> np.ndarray:
+    def per_char(self, codes: np.ndarray, grams: list[np.ndarray] | None = None) -> np.ndarray:
         out = np.zeros(len(codes), dtype=np.float32)
-        for n, table in zip(ORDERS, self.tables, strict=True):
-            g = _grams(codes, n)
+        for n, table, g in zip(ORDERS, self.tables, _grams(codes) if grams is None else grams, strict=True):
             out[n - 1 :] += table[g]
         return out / len(ORDERS)
 
@@ -123,9 +125,12 @@ class ResidueModel:
         codes = _codes(text)
         if len(codes) <= 2:
             return False, False, False
-        return self.blank(text), self.filler_passage(codes), self.page(codes)
+        grams = _grams(codes)
+        return self.blank(text), self.filler_passage(codes, grams), self.page(codes, grams)
 
     def blank(self, text: str) -> bool:
+        if not _MARKS.search(text):
+            return False
         for m in BLANK.finditer(text):
             s = m.group()
             if s[0] == "<" and s[1] not in "<%" and _is_markup(s, text):
@@ -140,8 +145,8 @@ class ResidueModel:
                 return True
         return False
 
-    def filler_passage(self, codes: np.ndarray) -> bool:
-        score = self.filler.per_char(codes)
+    def filler_passage(self, codes: np.ndarray, grams: list[np.ndarray] | None = None) -> bool:
+        score = self.filler.per_char(codes, grams)
         on = _windowed(score, self.window) > 0
         if not on.any():
             return False
@@ -152,8 +157,8 @@ class ResidueModel:
                 return True
         return False
 
-    def page(self, codes: np.ndarray) -> bool:
-        score = self.notice.per_char(codes)
+    def page(self, codes: np.ndarray, grams: list[np.ndarray] | None = None) -> bool:
+        score = self.notice.per_char(codes, grams)
         return bool((_windowed(score, self.window) > 0).mean() >= self.page_cover and score.mean() >= self.page_ratio)
 
 
