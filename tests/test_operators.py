@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,21 @@ def test_near_pairs(spark):
     assert [(x.left_id, x.right_id) for x in got] == [("e1", "e2")] or [(x.left_id, x.right_id) for x in got] == [("e2", "e1")]
 
 
+def test_near_pairs_of_common_shingles(spark):
+    """Blocks above the band: every pair is found, by brute force, in one tile and in many."""
+    r = random.Random(5)
+    base = "the app keeps crashing whenever i open the settings page on my phone"
+    forms = sorted({base[:k] + "".join(r.choice("abcde") for _ in range(n)) + base[k + n :] for k in range(0, 60, 2) for n in (1, 2, 3, 4, 5) for _ in range(2)})
+    rows = [(f"e{i:04d}", f) for i, f in enumerate(forms)]
+    texts = similarity.exact_groups(spark.createDataFrame(rows, "r string, f string"), F.col("r"), F.col("f"))
+    want = {(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1 :] if SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.92}
+    banded = {(x.left_id, x.right_id) for x in similarity.candidates(texts).collect()}
+    assert want - banded
+    for tile in (50, 4096):
+        got = [(x.left_id, x.right_id) for x in similarity.near_pairs(texts, tile=tile).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_chronological_split(spark):
     day = lambda d: dt.datetime(2017, 10, d)
     minute = dt.timedelta(minutes=1)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import char_shingles, once
@@ -36,7 +37,8 @@ def rare_shingles(texts: DataFrame, size: int, min_chars: int, keys: int, max_bl
 def candidates(texts: DataFrame, size: int = 4, min_chars: int = 24, keys: int = 4, max_block: int = 100, threshold: float = 0.92) -> DataFrame:
     """``left_id, right_id, left_form, right_form``: pairs of texts that share a rare shingle and whose lengths are near enough.
 
-    Pairs of a block number at most ``max_block`` squared halves, by the frequency band. :func:`jaccard_pairs` finds pairs exactly, without a band.
+    Pairs of a block number at most ``max_block`` squared halves, by the frequency band, which loses pairs that share common shingles only.
+    :func:`near_pairs` finds all near pairs, without a band.
     """
     rare = rare_shingles(texts, size, min_chars, keys, max_block)
     a = rare.select("shingle", F.col("representative").alias("left_id"), F.col("form").alias("left_form"))
@@ -46,17 +48,96 @@ def candidates(texts: DataFrame, size: int = 4, min_chars: int = 24, keys: int =
     return pairs.where(short >= threshold * long)
 
 
-@F.pandas_udf(T.DoubleType())
-def matched_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Ratcliff-Obershelp similarity of left and right, in this order."""
-    for left, right in batches:
-        yield pd.Series([SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
-
-
-def near_pairs(texts: DataFrame, threshold: float = 0.92, **options: int) -> DataFrame:
-    """``left_id, right_id, similarity`` of candidates with a matched ratio of at least ``threshold``; left is the smaller text."""
-    found = candidates(texts, threshold=threshold, **options)
-    return found.repartition("left_id").withColumn("similarity", matched_ratio("left_form", "right_form")).where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
+def _letters(forms: list[str], classes: int = 64, most: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of characters in unary, so that a product of two rows is the number of characters in common, and what goes beyond ``most`` of a class."""
+    counts = np.zeros((len(forms), classes), dtype=np.int32)
+    for i, t in enumerate(forms):
+        counts[i] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % classes, minlength=classes)
+    capped = np.minimum(counts, most)
+    return (capped[:, :, None] > np.arange(most)).reshape(len(forms), -1).astype(np.float32), (counts - capped).sum(axis=1)
+
+
+def _common_subsequence(places: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of ``b`` and the text of ``n`` characters whose places are given as bits."""
+    full = (1 << n) - 1
+    v = full
+    for c in b:
+        u = v & places.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
+def _tile(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """All near pairs of the two sides of a tile; a side of 2 stands on both."""
+    slack = 1e-9
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["_side"] != 1], rows[rows["_side"] != 0]
+        own = bool((rows["_side"] == 2).any())
+        af, bf, ai, bi = a["form"].tolist(), b["form"].tolist(), a["representative"].tolist(), b["representative"].tolist()
+        out: list[tuple[str, str, float]] = []
+        if af and bf:
+            step = 1024
+            bl = np.array([len(t) for t in bf])
+            right = [(j, *_letters(bf[j : j + step])) for j in range(0, len(bf), step)]
+            for i in range(0, len(af), step):
+                x, more = _letters(af[i : i + step])
+                al = np.array([len(t) for t in af[i : i + step]])
+                for j, y, rest in right:
+                    if own and j + step <= i:
+                        continue
+                    l, r = al[:, None], bl[None, j : j + step]
+                    # Common characters, then the longest common subsequence, bound the matched characters from above.
+                    bound = x @ y.T + np.minimum(more[:, None], rest[None, :])
+                    near = (2 * bound >= (threshold - slack) * (l + r)) & (np.minimum(l, r) >= threshold * np.maximum(l, r) - slack)
+                    last, places = -1, {}
+                    for p, q in zip(*(k.tolist() for k in np.nonzero(near)), strict=True):
+                        if own and j + q <= i + p:
+                            continue
+                        s, t = af[i + p], bf[j + q]
+                        if p != last:
+                            last, places = p, {}
+                            for at, c in enumerate(s):
+                                places[c] = places.get(c, 0) | 1 << at
+                        if s == t or 2 * _common_subsequence(places, len(s), t) < (threshold - slack) * (len(s) + len(t)):
+                            continue
+                        (s, left), (t, other) = sorted(((s, ai[i + p]), (t, bi[j + q])))
+                        ratio = SequenceMatcher(None, s, t, autojunk=False).ratio()
+                        if ratio >= threshold:
+                            out.append((left, other, ratio))
+        return pd.DataFrame(out, columns=["left_id", "right_id", "similarity"])
+
+    return run
+
+
+def near_pairs(texts: DataFrame, threshold: float = 0.92, min_chars: int = 24, tile: int = 4096) -> DataFrame:
+    """``left_id, right_id, similarity`` of all pairs of texts with a matched ratio and a ratio of lengths of at least ``threshold``; left is the smaller text.
+
+    Exact, without a band of frequencies: texts of near lengths meet in tiles of about ``tile`` by ``tile``, where bounds from above
+    (common characters by a matrix product, then the longest common subsequence) leave few pairs to match. No pair is emitted before it
+    is matched, but the bounds are worked out for all pairs of near lengths: time grows with the square of the texts of one length.
+    """
+    rows = texts.where(F.length("form") >= max(1, min_chars)).select("representative", "form", F.floor(F.log(F.length("form").cast("double")) / math.log(1.0001 / threshold)).cast("int").alias("_b"))
+    counts = {r["_b"]: -(-r["count"] // tile) for r in rows.groupBy("_b").count().collect()}
+    parts = F.create_map(*[F.lit(k) for pair in (counts or {0: 0}).items() for k in pair])
+
+    def slots(shift: int) -> Column:
+        n = F.coalesce(parts[F.col("_b") + shift], F.lit(0))
+        return F.filter(F.sequence(F.lit(0), n), lambda y: y < n)
+
+    def cell(b1: Column, p1: Column, b2: Column, p2: Column, side: Column) -> Column:
+        return F.struct(b1.alias("_b1"), p1.alias("_p1"), b2.alias("_b2"), p2.alias("_p2"), side.alias("_side"))
+
+    b, x = F.col("_b"), F.col("_part")
+    cells = F.concat(
+        F.transform(slots(0), lambda y: cell(b, F.least(x, y), b, F.greatest(x, y), F.when(x == y, 2).when(x < y, 0).otherwise(1))),
+        F.transform(slots(1), lambda y: cell(b, x, b + 1, y, F.lit(0))),
+        F.transform(slots(-1), lambda y: cell(b - 1, y, b, x, F.lit(1))),
+    )
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("form"), parts[F.col("_b")]).cast("int"))
+    rows = rows.select("representative", "form", F.inline(cells))
+    kind = dict(texts.dtypes)["representative"]
+    return rows.groupBy("_b1", "_p1", "_b2", "_p2").applyInPandas(_tile(threshold), f"left_id {kind}, right_id {kind}, similarity double")
 
 
 def word_shingles(text: Column, words: int = 5) -> Column:

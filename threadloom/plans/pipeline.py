@@ -328,7 +328,7 @@ def near_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def near_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates with a matched ratio of at least 0.92."""
+    """All pairs of texts with a matched ratio of at least 0.92."""
     return similarity.near_pairs(_forms(spark, folder)).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
