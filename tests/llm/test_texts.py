@@ -54,6 +54,25 @@ def test_names_are_slots():
     assert index.vocabulary["forty"] == index.vocabulary["seven"] and index.vocabulary["leeds"] != index.vocabulary["baker"]
 
 
+def test_names_that_no_item_has(spark):
+    # The first place is a name of the items, the others are not; "rose" is a word of the items, numbers and units are no names.
+    others = ["Leeds", "Bristol", "bristol", "Rose", "rose", "ninety", "42", "minutes"]
+    texts = [ITEM.replace("Leeds", w) for w in others] + [ITEM.replace("Leeds", "Bristol").replace("forty", "90")]
+    for block in (1, 2000):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        items = spark.createDataFrame([(1, ITEM), (2, "the rose grows"), (3, "we met in LEEDS, then left Leeds")], "item_id long, text string")
+        got = leaked_windows(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"), block=block)
+        # Windows without the place of the name agree word by word; those with it are the first five.
+        whole = {x.doc_id: (x.verbatim_windows, x.changed_windows, x.consistent) for x in leak_report(got).collect()}
+        n = len(ITEM.split()) - 9
+        assert whole[0] == (n, 0, True)
+        with_name = whole[1][1]
+        assert with_name == 5 and whole[1] == (n - 5, 5, True) and whole[2] == whole[1]
+        assert all(whole[d][1] == 0 and whole[d][0] == n - 5 for d in (5, 6, 7))
+        assert whole[3] == whole[1] and whole[4] == (n - 5, 0, True)
+        assert whole[8][1] > 5 and whole[8][2]
+
+
 REAL = [
     "Your mail greeted me as {{first_name}}, please fix the greeting. The queue is fine now.", "Contact on file: [EMAIL], [PHONE]; a refund was sent to [CUSTOMER].", "Someone wrote lorem ipsum into the playlist title, funny.",
     "I get a 404 on the voucher link from your mail, what now?", "The web player told me to enable JavaScript, which I had, and the queue still shows an empty page.", "<p>The radio works.</p> 3 < 5 and #1 of 20 at 50% [sic: shortened]", "",

@@ -1,13 +1,14 @@
 """Problem 8: evaluation passages inside training text.
 
 Items and documents are reduced to words, words to templates: numbers, units and names become typed slots. Windows of template words are
-joined by hash, then the slots are compared: all equal is a verbatim passage, a consistent substitution a re-parameterised one.
+joined by hash, then the slots are compared: all equal is a verbatim passage, a consistent substitution a re-parameterised one. A slot of a
+name takes any name of an item, any word that no item has and any word with a capital in the document, but no number or unit.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Set
 
 import numpy as np
 import pandas as pd
@@ -52,8 +53,8 @@ def _template(word: str, names: set[str]) -> str:
     return _NAME if word in names else word
 
 
-def item_names(texts: list[str | None]) -> set[str]:
-    """Words that items write with a capital inside a sentence and never without: taken as names, whatever their case elsewhere."""
+def _cases(texts: Iterable[str | None]) -> tuple[set[str], set[str]]:
+    """Words with a capital inside a sentence, and words without, in lower case."""
     upper, lower = set(), set()
     for text in texts:
         for m in _WORD.finditer(text or ""):
@@ -63,12 +64,32 @@ def item_names(texts: list[str | None]) -> set[str]:
                 upper.add(w.lower())
             elif w[0].islower():
                 lower.add(w.lower())
+    return upper, lower
+
+
+def item_names(texts: Iterable[str | None]) -> set[str]:
+    """Words that items write with a capital inside a sentence and never without: taken as names, whatever their case elsewhere."""
+    upper, lower = _cases(texts)
     return upper - lower
 
 
+def _capitals(text: str, tokens: list[str]) -> list[bool]:
+    """Which of the words of a document are written with a capital, but not in capitals throughout."""
+    if "<" in text or "&" in text:
+        text = _MARKUP.sub(" ", text)
+    written = _WORD.findall(text)
+    if len(written) == len(tokens):
+        return [w[0].isupper() and not w.isupper() for w in written]
+    # Lower case of a few letters takes more than one character: go by the word instead of its place.
+    some = {w.lower() for w in written if w[0].isupper() and not w.isupper()}
+    return [w in some for w in tokens]
+
+
 def _rolled(ids: np.ndarray, span: int) -> np.ndarray:
     """Polynomial hashes of all windows of ``span`` ids."""
     out = np.zeros(max(0, len(ids) - span + 1), dtype=np.uint64)
+    if not len(out):
+        return out
     with np.errstate(over="ignore"):
         for k in range(span):
             out = out * _BASE + ids[k : len(ids) - span + 1 + k]
@@ -83,8 +104,8 @@ def _word_ids(tokens: list[str], vocabulary: dict[str, int]) -> np.ndarray:
 class Index:
     """Template windows of one block of items, small enough to ship to every task."""
 
-    def __init__(self, items: pd.DataFrame, names: set[str], span: int):
-        self.span, self.vocabulary, rows = span, {}, []
+    def __init__(self, items: pd.DataFrame, names: set[str], span: int, ordinary: Set[str] = frozenset()):
+        self.span, self.ordinary, self.vocabulary, rows = span, ordinary, {}, []
         codes: dict[str, int] = {}
         for item, text in zip(items["item"], items["text"], strict=True):
             tokens = words(text)
@@ -101,14 +122,74 @@ class Index:
                 self.vocabulary.setdefault(w, (code * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
         number = codes.get(_NUM)
         self.number = ((number * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF) if number else 0
+        name = codes.get(_NAME)
+        self.name = np.uint64((name * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF if name else 0)
         self.windows = pd.DataFrame(rows, columns=["item_id", "_hash", "_item_words"])
         self.windows["_hash"] = self.windows["_hash"].astype("uint64").to_numpy().view("int64")
-        self.hashes = np.unique(self.windows["_hash"].to_numpy())
+        #: Hashes by the places of names in their windows: what stands there in a document is free.
+        self.hashes: dict[tuple[int, ...], np.ndarray] = {}
+        places = [tuple(k for k, w in enumerate(t.split(" ")) if name and self.vocabulary[w] == int(self.name)) for t in self.windows["_item_words"]]
+        for p, group in self.windows["_hash"].groupby(pd.Series(places, index=self.windows.index, dtype="object")):
+            self.hashes[p] = np.unique(group.to_numpy())
+        powers = [1]
+        for _ in range(span - 1):
+            powers.append(powers[-1] * int(_BASE) & 0xFFFFFFFFFFFFFFFF)
+        self.powers = np.array(powers[::-1], dtype=np.uint64)
+
+    def _matches(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, tuple[int, ...]]]:
+        """Start, hash and free places of every window that some item has; ``starts`` are the places where a window may start."""
+        unknown = np.concatenate(([0], np.cumsum(ids == 0)))
+        missing = unknown[starts + self.span] - unknown[starts]
+        most = max(map(len, self.hashes))
+        starts, missing = starts[missing <= most], missing[missing <= most]
+        whole = _rolled(ids, self.span)[starts]
+        out = []
+        with np.errstate(over="ignore"):
+            for free, hashes in self.hashes.items():
+                h, left = whole.copy(), missing.copy()
+                for k in free:
+                    there = ids[starts + k]
+                    h += (self.name - there) * self.powers[k]
+                    left -= there == 0
+                at = np.flatnonzero(left == 0)
+                h = h[at].view(np.int64)
+                pos = np.searchsorted(hashes, h)
+                pos[pos == len(hashes)] = 0
+                hit = np.flatnonzero(hashes[pos] == h)
+                out += [(i, v, free) for i, v in zip(starts[at[hit]].tolist(), h[hit].tolist(), strict=True)]
+        return out
 
     def scan(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Windows of documents whose template hash some item has."""
         for batch in batches:
             keys, hashes, found = [], [], []
+            group, size = [], 0
+
+            def flush() -> None:
+                ids = np.concatenate([g[2] for g in group])
+                ends = np.cumsum([len(g[2]) for g in group])
+                firsts = ends - [len(g[2]) for g in group]
+                starts = np.concatenate([np.arange(a, b - self.span + 1) for a, b in zip(firsts, ends, strict=True)])
+                capitals: dict[int, list[bool]] = {}
+                for at, h, free in self._matches(ids, starts):
+                    n = int(np.searchsorted(ends, at, side="right"))
+                    key, text, _, tokens = group[n]
+                    first = at - int(firsts[n])
+                    window = tokens[first : first + self.span]
+                    # A word that any item, of this block or not, uses as no name is one where the document writes it with a capital.
+                    for k in free:
+                        if window[k].isdigit() or window[k] in NUMBERS or window[k] in UNITS:
+                            break
+                        if window[k] in self.ordinary:
+                            if n not in capitals:
+                                capitals[n] = _capitals(text, tokens)
+                            if not capitals[n][first + k]:
+                                break
+                    else:
+                        keys.append(key)
+                        hashes.append(h)
+                        found.append(" ".join(window))
+
             for key, text in zip(batch["_key"], batch["_text"], strict=True):
                 tokens = words(text)
                 if len(tokens) < self.span:
@@ -118,17 +199,13 @@ class Index:
                     for i, w in enumerate(tokens):
                         if not ids[i] and w.isdigit():
                             ids[i] = self.number
-                known = np.concatenate(([0], np.cumsum(ids != 0)))
-                at = np.flatnonzero(known[self.span :] - known[: -self.span] == self.span)
-                if not len(at):
-                    continue
-                h = _rolled(ids, self.span)[at].view(np.int64)
-                pos = np.searchsorted(self.hashes, h)
-                pos[pos == len(self.hashes)] = 0
-                for i in np.flatnonzero(self.hashes[pos] == h):
-                    keys.append(key)
-                    hashes.append(h[i])
-                    found.append(" ".join(tokens[at[i] : at[i] + self.span]))
+                group.append((key, text, ids, tokens))
+                size += len(tokens)
+                if size > 100_000:
+                    flush()
+                    group, size = [], 0
+            if group:
+                flush()
             yield pd.DataFrame({"_key": pd.Series(keys, dtype=batch["_key"].dtype if batch["_key"].dtype.kind == "i" else "object"), "_hash": pd.Series(hashes, dtype="int64"), "_doc_words": pd.Series(found, dtype="object")})
 
 
@@ -142,13 +219,21 @@ def leaked_windows(documents: DataFrame, doc: Column, text: Column, items: DataF
     spark = documents.sparkSession
     docs = documents.select(doc.alias("_key"), text.alias("_text")).where("_text is not null")
     stated = items.select(item.alias("item"), item_text.alias("text")).where("text is not null").orderBy("item")
+    # Over all items, so that what is a name does not depend on the blocks; kept are words, not texts.
+    upper, lower, ordinary = set(), set(), set()
+    for row in stated.toLocalIterator():
+        for total, part in zip((upper, lower), _cases([row["text"]]), strict=True):
+            total |= part
+        ordinary.update(words(row["text"]))
+    names = upper - lower
+    ordinary -= names
     out = None
     pending: list = []
 
     def add(rows: list) -> None:
         nonlocal out
         frame = pd.DataFrame([(r["item"], r["text"]) for r in rows], columns=["item", "text"])
-        index = Index(frame, item_names(frame["text"].tolist()), span)
+        index = Index(frame, names, span, ordinary)
         if index.windows.empty:
             return
         windows = spark.createDataFrame(index.windows, "item_id long, _hash long, _item_words string")
