@@ -54,11 +54,11 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Turns of whole conversations in the order of their stated moments."""
-    return conversations(table(spark, folder, "records"), order="stated").select("conversation_id", "pos", "tweet_id", "speaker")
+    return conversations(table(spark, folder, "records"), order="stated", clocks=False).select("conversation_id", "pos", "tweet_id", "speaker")
 
 
 def p7_corrected(spark: SparkSession, folder: str) -> DataFrame:
-    """Turns in the order of corrected moments, with both times."""
+    """Turns in the order of corrected moments, with both times and the number of answers that still come too early."""
     return conversations(table(spark, folder, "records"))
 
 
