@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,16 @@ def test_names_are_slots():
     assert index.vocabulary["forty"] == index.vocabulary["seven"] and index.vocabulary["leeds"] != index.vocabulary["baker"]
 
 
+def test_forgotten_tokens_change_no_scores():
+    free, bound = pii.Crf(), pii.Crf()
+    free.weights[:] = bound.weights[:] = np.random.default_rng(1).random(free.weights.shape[1:], dtype=np.float32)
+    bound.most = 5
+    for k in range(3):
+        texts = [[f" w{k}{i}{j}" for j in range(4)] for i in range(6)]
+        assert np.array_equal(free.emissions(texts)[0], bound.emissions(texts)[0])
+    assert len(bound.ids) == 24
+
+
 def test_names_that_no_item_has(spark):
     # The first place is a name of the items, the others are not; "rose" is a word of the items, numbers and units are no names.
     others = ["Leeds", "Bristol", "bristol", "Rose", "rose", "ninety", "42", "minutes"]

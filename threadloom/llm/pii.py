@@ -78,6 +78,7 @@ class Crf:
         self.weights = np.zeros((len(OFFSETS), 1 << _BITS, LABELS), dtype=np.float32)
         self.steps = np.zeros((LABELS, LABELS), dtype=np.float32)
         self.ids: dict[str, int] = {}
+        self.most = 400_000
         self.scores = np.zeros((1024, len(OFFSETS), LABELS), dtype=np.float32)
 
     # -- emissions ---------------------------------------------------------------------------------------------------------------
@@ -85,8 +86,6 @@ class Crf:
     def _id(self, token: str) -> int:
         i = self.ids.get(token)
         if i is None:
-            if len(self.ids) >= 400_000:  # a bound on memory: forgotten tokens are computed again
-                self.ids.clear()
             i = len(self.ids) + 1
             self.ids[token] = i
             if i >= len(self.scores):
@@ -96,6 +95,8 @@ class Crf:
 
     def emissions(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of all tokens of all texts, laid end to end, and where each text starts. Id 0, the padding, scores nothing."""
+        if len(self.ids) >= self.most:  # a bound on memory, between batches only: rows in use must not be given to other tokens
+            self.ids.clear()
         pad = max(OFFSETS)
         lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         starts = pad + np.concatenate(([0], np.cumsum(lengths + pad)))[:-1]
