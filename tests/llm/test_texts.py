@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import held_out as held_out_texts
 from threadloom.llm import pii, pii_seeds
 from threadloom.llm.leakage import Index, item_names, leak_report, leaked_windows, words
 from threadloom.llm.mixture import TOKENIZER, mix, mixed_shares, position, source_name
@@ -102,6 +103,23 @@ def test_residue_kinds():
     assert [t for t in PAGES if not m.kinds(t)[2]] == []
 
 
+def test_residue_on_held_out_texts():
+    m = ResidueModel()
+    for texts, k in ((held_out_texts.PAGES + held_out_texts.LATER_PAGES, 2), (held_out_texts.BLANKS, 0), (held_out_texts.FILLER, 1)):
+        missed = [t for t in texts if not m.kinds(t)[k]]
+        assert len(missed) <= 0.1 * len(texts), missed
+    real = held_out_texts.REAL + held_out_texts.LATER_REAL + held_out_texts.QUOTED
+    marked = [t for t in real if any(m.kinds(t))]
+    assert len(marked) <= 0.05 * len(real), marked
+
+
+def test_a_batch_decides_as_single_texts_do():
+    m = ResidueModel()
+    texts = REAL + BLANKS + FILLERS + PAGES + ["", " ", "x"] + held_out_texts.PAGES
+    for got, k in zip(m.batch(texts), range(3), strict=True):
+        assert got.tolist() == [m.kinds(t)[k] for t in texts]
+
+
 def test_residue_tables(spark):
     rows = list(enumerate(REAL + [None, " ", "a" * 300000] + BLANKS + FILLERS + PAGES))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("has_blank", F.lit("clash")).withColumn("_text", F.lit(3))
