@@ -32,3 +32,16 @@ LATER_REAL = [
     "The choir sang two new songs and the audience asked for more.", "Could you send the printed invoice to my new flat?", "Our dog hates the vacuum cleaner and hides under the bed.", "I pressed the wrong key and the list was empty, sorry for the trouble.", "Der Zug kam pünktlich, aber die Heizung war kaputt.", "El perro del vecino ladra cuando suena la radio.", "La boulangerie ferme à midi le dimanche.",
     "Agent: I have moved the payment to June.\nCustomer: Perfect, thanks a lot.", "Please tell me how many guests may use the room.", "The bridge was closed, so the bus took the long way.", "My password works on the phone but not on the watch.", "We painted the server room green last summer.",
 ]
+
+#: Texts and the kinds of personal data they hold. Names, streets, numbers and most carriers occur in no seed.
+PERSONAL = [
+    ("Good day, Wanjiru Kamau speaking", {"person_name"}), ("Kind regards\nThiago Albuquerque", {"person_name"}), ("the ticket belongs to Björn Þórsson", {"person_name"}), ("please call Mrs Raghunathan back", {"person_name"}), ("Dear Oluwaseun, we have moved your booking", {"person_name"}), ("my colleague Desdemona Finch will take over", {"person_name"}),
+    ("Hello Siobhan, your parcel is here", {"person_name"}), ("Yours, Casimir Brandvold", {"person_name"}), ("the card is in the name of Tomasz Wieczorek", {"person_name"}), ("my daughter Nkechi cannot log in", {"person_name"}), ("ich bin Annegret Pfeiffer", {"person_name"}), ("me llamo Itziar Etxeberria", {"person_name"}), ("je m'appelle Maëlle Kerguelen", {"person_name"}),
+    ("answer to quillon.hartley@postbox.example.net", {"email"}), ("my mail: ana_belen77 (at) correo (dot) example", {"email"}), ("login is zora.k@school.example", {"email"}), ("CC: BILLING.DESK@FIRM.EXAMPLE", {"email"}), ("mail to otto+news@heim.example.org, thanks", {"email"}), ("it goes to wren@cottage.test", {"email"}), ("write tully at barnmail dot example", {"email"}),
+    ("phone me under 0722 123 456", {"phone"}), ("my mobile: +46 70 123 45 67", {"phone"}), ("call (503) 555-0192 after five", {"phone"}), ("WhatsApp +55 11 98765-4321", {"phone"}), ("Rückruf bitte unter 0171 2345678", {"phone"}), ("tel. 01 42 68 53 00", {"phone"}), ("you reach us at 1-800-555-0175", {"phone"}), ("mi móvil es 655 432 109", {"phone"}),
+    ("my social security number is 078-05-1120", {"id_number"}), ("passport no. K83920174", {"id_number"}), ("NINO AB 12 34 56 C", {"id_number"}), ("DNI 48273615X", {"id_number"}), ("Steuer-ID 45 938 271 604", {"id_number"}), ("driving licence MORGA657054SM9IJ", {"id_number"}), ("national id 850312-4471", {"id_number"}), ("tax number 21/815/08150", {"id_number"}),
+    ("we live at 88 Larchmont Terrace, Penrith", {"address"}), ("send it to Rua das Flores 45, Braga", {"address"}), ("meine Anschrift ist Tannenweg 12, 44139 Dortmund", {"address"}), ("home address: 7 Gull Cottage Lane", {"address"}), ("vivo en Calle de los Olmos 31", {"address"}), ("c'est au 14 rue des Glycines", {"address"}), ("PO Box 773, Alder Creek", {"address"}), ("deliver to 1205 Sycamore Blvd, Apt 9", {"address"}),
+    ("Ms Abernathy wrote from d.abernathy@mailhub.example", {"person_name", "email"}), ("Ruben Achterberg, 06 12 34 56 78", {"person_name", "phone"}), ("ship to Hollis Greer, 52 Beacon Street", {"person_name", "address"}),
+    ("The Marble Ravens play in Galway tonight", set()), ("ticket 5521-8834 is still open", set()), ("version 12.4.880 crashed again", set()), ("we paid 14.99 on 03/11/2021 at 18:45", set()), ("trains from Utrecht to Ghent are late", set()), ("thanks @StoreDesk, that helped", set()), ("serial no. QX5550123 is printed below", set()), ("The Salted Harbours released Rainy Window", set()),
+    ("order 77120045 has not come", set()), ("error 0x80070057 at start", set()), ("Hello team, please restart the list", set()), ("signed off /MB", set()), ("We moved to Antwerp last spring", set()), ("[EMAIL] and [PHONE] were removed", set()), ("1 200 000 plays in a week", set()), ("the album 9 Harbour Street by The Lanes", set()), ("Dear customer, the refund was sent", set()), ("happy new year to all of you", set()),
+]
