@@ -51,12 +51,49 @@ def test_a_store_is_found_again(spark):
     assert rows_of(KeyedStore(spark, path, df.select("text").schema, 4).read()) == [(1, 1, "a")]
 
 
-def test_compaction_does_not_shuffle(spark):
-    df = spark.createDataFrame([(1, 1, "a")], "o long, k long, text string")
+def test_compaction_merges_without_shuffle_or_sort(spark):
+    df = spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "o long, k long, text string")
     store = make(spark, df.select("text"))
     store.upsert(df, F.col("k"), F.col("o"))
-    plan = store.read()._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    store.upsert(df, F.col("k"), F.col("o"))
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    try:
+        plan = store.read()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "false")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_a_crash_at_any_step_changes_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 2, "c")], "o long, k long, text string")
+    path, schema = Workspace(spark, "test").path(), df.select("text").schema
+    store = KeyedStore(spark, path, schema, 4)
+    store.upsert(df, F.col("k"), F.col("o"))
+    store.upsert(df, F.col("k"), F.col("o") - 1)
+    want = [(1, 0, "a"), (2, 2, "c")]
+    for step in ("_point", "_forget", "_write"):
+
+        def die(*_):
+            raise OSError("lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(KeyedStore, step, die)
+            broken = KeyedStore(spark, path, schema, 4)
+            for job in (lambda: broken.compact(), lambda: broken.upsert(df, F.col("k"), F.col("o") + 5)):
+                try:
+                    job()
+                except OSError:
+                    pass
+        again = KeyedStore(spark, path, schema, 4)
+        assert rows_of(again.read()) == want
+        again.compact()
+        assert rows_of(again.kept()) == want
+        again.upsert(df, F.col("k"), F.col("o") - 1)
+        want = [(1, 0, "a"), (2, 2, "c")]
+    store = KeyedStore(spark, path, schema, 4)
+    store._point(store._current()[0] + 1, store._current()[1])
+    with pytest.raises(RuntimeError):
+        store._point(store._current()[0], [])
 
 
 def test_reserved_names(spark):

@@ -51,29 +51,27 @@ def p4_values(spark: SparkSession, folder: str) -> DataFrame:
     return split_packed(table(spark, folder, "records"), ["response_tweet_id", "in_response_to_tweet_id"], ["source_record"])
 
 
+def _delivered(spark: SparkSession, folder: str) -> KeyedStore:
+    """The records, whole rows, delivered in two parts by batch, merged."""
+    records = table(spark, folder, "records")
+    store = KeyedStore(spark, Workspace(spark, "store").path(), records.schema, buckets(spark))
+    key, part = ids.message_id(F.col("tweet_id")), F.coalesce(F.crc32("batch_id") % 2, F.lit(1))
+    for n in (0, 1):
+        store.upsert(records.where(part == n), key, F.col("source_record"))
+    store.compact()
+    return store
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that are not kept: those with an id whose row the compacted store does not hold."""
+    kept = _delivered(spark, folder).kept().select("source_record")
     records = table(spark, folder, "records").select("source_record", "tweet_id")
-    key = ids.message_id(F.col("tweet_id"))
-    store = KeyedStore(spark, Workspace(spark, "store").path(), records.select().schema, buckets(spark))
-    store.upsert(records, key, F.col("source_record"))
-    store.compact()
-    kept = store.kept().select(F.col("store_order").alias("source_record"))
-    return records.where(key.isNotNull()).select("source_record").join(kept, "source_record", "left_anti")
+    return records.where(ids.message_id(F.col("tweet_id")).isNotNull()).select("source_record").join(kept, "source_record", "left_anti")
 
 
 def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole row kept of every message id, delivered in two halves of which the second comes twice."""
-    records = table(spark, folder, "records")
-    payload = records.select("source_record", "author_id", "inbound", "created_at", "text", "row_signature", "batch_id")
-    store = KeyedStore(spark, Workspace(spark, "store").path(), payload.schema, buckets(spark))
-    key = ids.message_id(F.col("tweet_id"))
-    odd = records.where("batch_id is null or crc32(batch_id) % 2 = 1")
-    store.upsert(records.where("crc32(batch_id) % 2 = 0"), key, F.col("source_record"))
-    store.upsert(odd, key, F.col("source_record"))
-    store.upsert(odd, key, F.col("source_record"))
-    store.compact()
-    return store.kept().select(F.col("store_key").cast("string").alias("tweet_id"), *payload.columns)
+    """The whole row kept of every message id, its id in plain form beside the delivered one."""
+    return _delivered(spark, folder).kept().select(F.col("store_key").cast("string").alias("message_id"), *table(spark, folder, "records").columns)
 
 
 def sql_id(column: str) -> str:
@@ -123,7 +121,7 @@ FROM (SELECT id, trail, unnest(range(2, len(trail) + 1)) AS i FROM ends WHERE NO
     "p6_found": f"""SELECT source_record FROM (
   SELECT source_record, row_number() OVER (PARTITION BY id ORDER BY source_record) AS n
   FROM (SELECT source_record, {sql_id('tweet_id')} AS id FROM records) WHERE id IS NOT NULL) WHERE n > 1""",
-    "p6_kept": f"""SELECT CAST(id AS VARCHAR) AS tweet_id, source_record, author_id, inbound, created_at, text, row_signature, batch_id
+    "p6_kept": f"""SELECT CAST(id AS VARCHAR) AS message_id, * EXCLUDE (id, n)
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source_record) AS n
   FROM (SELECT *, {sql_id('tweet_id')} AS id FROM records) WHERE id IS NOT NULL) WHERE n = 1""",
 }
