@@ -77,3 +77,11 @@ def test_empty_and_tiny(spark):
     rows = split_rows(spark)
     assert assign_splits(rows.limit(0), SHARES).count() == 0
     assert assign_splits(rows.where("unit_id = 'u00001'"), SHARES).select("split").distinct().count() == 1
+
+
+def test_splits_do_not_depend_on_partitions(spark):
+    ids = spark.range(400000).select(F.concat(F.lit("r"), "id").alias("record_id"), F.concat(F.lit("u"), F.floor(F.col("id") / 3)).alias("unit_id"), F.timestamp_seconds(F.col("id") * 37 % 100003).alias("ends"))
+    first = assign_splits(ids, SHARES)
+    second = assign_splits(ids.repartition(7, "ends"), SHARES)
+    other = second.withColumnRenamed("split", "_split")
+    assert first.join(other, ["record_id", "unit_id"]).where("split = _split").count() == 400000

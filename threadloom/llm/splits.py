@@ -8,9 +8,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.operators.graph import connected_components
+from threadloom.operators.ranking import rank_within, running_total
 from threadloom.workspace import Workspace
 
 
@@ -72,16 +72,18 @@ def difference(weights: Sequence[float], bins: int) -> list[int]:
     return out
 
 
-def assign_splits(unit_rows: DataFrame, shares: dict[str, float], bins: int = 8, chunk: int = 20000) -> DataFrame:
+def assign_splits(unit_rows: DataFrame, shares: dict[str, float], bins: int = 64, chunk: int = 1024) -> DataFrame:
     """``record_id, unit_id, split`` with every unit whole in one split, splits near their shares, earlier units first.
 
-    Units are laid out by their latest time (none: first) and cut into chunks of at most about ``chunk`` units, 64 chunks if there are units enough; largest differencing packs
-    each chunk into ``bins`` bins of near equal weight, and whole bins go to the splits in the order of ``shares``, each to the split
-    that holds the middle of the bin on the line of cumulated weight. A unit heavier than a bin of its chunk stays whole:
+    Units are laid out by their latest time (none: first) and their id, and cut by exact rank into chunks of ``chunk`` units; largest
+    differencing packs each chunk into ``bins`` bins of near equal weight, and whole bins go to the splits in the order of ``shares``, each
+    to the split that holds the middle of the bin on the line of cumulated weight. A unit heavier than a bin of its chunk stays whole:
     differencing gives it a bin of its own, and whatever it takes beyond the share of a split is taken from the next.
-    Units too heavy for the split where time would put them, more than the room it has, go to the split with the most room first.
+    Units too heavy for the split where time would put them, more than a quarter of the smallest split, go to the split with the most room
+    first.
 
-    Tasks hold one chunk of unit weights. Bins, not units, are ordered on one task; their number is ``bins / chunk`` of the units.
+    The result depends on nothing but the rows: not on their partitions, their order or the number of tasks. Tasks hold one chunk of unit
+    weights; ranks and cumulated weights are taken over range slices, never in one task.
     """
     spark = unit_rows.sparkSession
     work = Workspace(spark, "splits")
@@ -99,19 +101,18 @@ def assign_splits(unit_rows: DataFrame, shares: dict[str, float], bins: int = 8,
             to = max(names, key=lambda k: room[k])
             room[to] -= r["weight"]
             fixed.append((r["unit_id"], to))
-    rest = weights.where(F.col("weight") <= limit)
-    chunks = max(1, -(-n // chunk), min(64, n // (8 * bins)))
-    placed = rest.repartitionByRange(chunks, F.col("ends").asc_nulls_first(), F.col("unit_id")).select("unit_id", "weight", F.spark_partition_id().alias("chunk"))
-    placed = work.save(placed)
+    rest = weights.where(F.col("weight") <= limit).withColumn("all", F.lit(1))
+    ranked = rank_within(rest, "all", [F.col("ends"), F.col("unit_id")], "_rank")
+    placed = ranked.select("unit_id", "weight", F.floor((F.col("_rank") - 1) / chunk).alias("chunk"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["weight", "unit_id"], ascending=[False, True], ignore_index=True)
         return frame.assign(bin=difference(frame["weight"].tolist(), bins)).astype({"bin": "int32"})
 
-    packed = work.save(placed.groupBy("chunk").applyInPandas(pack, "unit_id string, weight long, chunk int, bin int"))
-    sizes = packed.groupBy("chunk", "bin").agg(F.sum("weight").alias("weight"))
-    upto = F.sum("weight").over(Window.orderBy("chunk", "bin"))
-    middle = sizes.select("chunk", "bin", (upto - F.col("weight") / 2).alias("_mid"))
+    packed = work.save(placed.groupBy("chunk").applyInPandas(pack, "unit_id string, weight long, chunk long, bin int"))
+    sizes = packed.groupBy("chunk", "bin").agg(F.sum("weight").alias("weight")).withColumn("all", F.lit(1))
+    summed = running_total(sizes, "all", [F.col("chunk"), F.col("bin")], F.col("weight"), "_upto")
+    middle = summed.select("chunk", "bin", (F.col("_upto") - F.col("weight") / 2).alias("_mid"))
     left = max(1e-9, sum(max(0.0, x) for x in room.values()))
     free = rest.agg(F.sum("weight")).first()[0] or 0
     edge = 0.0
@@ -127,3 +128,18 @@ def assign_splits(unit_rows: DataFrame, shares: dict[str, float], bins: int = 8,
     if fixed:
         by_unit = by_unit.unionByName(spark.createDataFrame(fixed, "unit_id string, split string"))
     return unit_rows.join(by_unit, "unit_id").select("record_id", "unit_id", "split")
+
+
+def split_checks(assigned: DataFrame, shares: dict[str, float], tolerance: float = 0.02) -> DataFrame:
+    """``check, n``: records and units, and how many of them stand in two splits or in none, and splits whose share is off by more than ``tolerance``."""
+    per = assigned.groupBy("unit_id").agg(F.count_distinct("split").alias("splits"), F.count_distinct("record_id").alias("records"), F.count_if(F.col("split").isNull()).alias("bare"))
+    counts = per.agg(F.sum("records").alias("records"), F.count("*").alias("units"), F.count_if(F.col("splits") > 1).alias("units_in_two_splits"), F.count_if(F.col("bare") > 0).alias("units_without_split"))
+    # One row per split.
+    sizes = assigned.groupBy("split").agg(F.count_distinct("record_id").alias("_n"))
+    goal = sum(shares.values())
+    wanted = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v / goal))])
+    total = sizes.agg(F.sum("_n").alias("_all"))
+    off = sizes.crossJoin(F.broadcast(total)).agg(F.count_if(F.abs(F.col("_n") / F.col("_all") - F.coalesce(wanted[F.col("split")], F.lit(0.0))) > tolerance).alias("shares_off"))
+    every = counts.crossJoin(F.broadcast(off))
+    named = [F.struct(F.lit(c).alias("check"), F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("n")) for c in ("records", "units", "units_in_two_splits", "units_without_split", "shares_off")]
+    return every.select(F.inline(F.array(*named)))
