@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,31 +11,37 @@ from pyspark.sql.window import Window
 from threadloom.workspace import Workspace, temporary_name
 
 
-def running_total(df: DataFrame, group: str, order: Sequence[Column], value: Column, name: str, partitions: int | None = None) -> DataFrame:
-    """``df`` with ``name``, the sum of ``value`` over the rows of its group up to and with this one by ``order``.
+def running_totals(df: DataFrame, group: str, order: Sequence[Column], values: Mapping[str, Column], partitions: int | None = None) -> DataFrame:
+    """``df`` with, for each name, the sum of its value over the rows of the group up to and with this one by ``order``.
 
     Rows are range partitioned by group and order, summed within their slice, and shifted by the sums of the group's earlier slices.
     A group may exceed any task: its rows spread over as many slices as it needs, and only groups that cross a slice boundary, at
-    most one per boundary, enter the table of shifts. Rows equal in ``order`` follow one another in any order; nulls in ``value``
-    count nothing; a null group is a group; a column called ``name`` gives way. Empty input gives an empty result.
+    most one per boundary, enter the table of shifts. Rows equal in ``order`` follow one another in any order; nulls in a value
+    count nothing; a null group is a group; columns called as the names give way. Empty input gives an empty result.
     """
     work = Workspace(df.sparkSession, "ranking")
-    df = df.drop(name)
+    df = df.drop(*values)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    piece, own, amount, shift = (temporary_name(df.columns, x) for x in ("_slice", "_own", "_amount", "_shift"))
+    piece = temporary_name(df.columns, "_slice")
+    own, amount, shift = ({v: temporary_name(df.columns, f"{x}{i}") for i, v in enumerate(values)} for x in ("_own", "_amount", "_shift"))
     keys = [temporary_name(df.columns, f"_o{i}") for i in range(len(order))]
-    sliced = df.select("*", F.coalesce(value, F.lit(0)).alias(amount), *[c.alias(k) for c, k in zip(order, keys, strict=True)])
+    sliced = df.select("*", *[F.coalesce(c, F.lit(0)).alias(amount[v]) for v, c in values.items()], *[c.alias(k) for c, k in zip(order, keys, strict=True)])
     sliced = work.save(sliced.repartitionByRange(n, F.col(group), *[F.col(k) for k in keys]).withColumn(piece, F.spark_partition_id()))
-    sizes = sliced.groupBy(F.col(group).alias("_g"), F.col(piece).alias("_p")).agg(F.sum(amount).alias("_size"))
+    sizes = sliced.groupBy(F.col(group).alias("_g"), F.col(piece).alias("_p")).agg(*[F.sum(amount[v]).alias(shift[v]) for v in values])
     spread = Window.partitionBy("_g")
     # One row per group and slice; groups of one slice go before anything is broadcast.
     crossing = sizes.withColumn("_n", F.count("*").over(spread)).where("_n > 1")
-    shifts = work.save(crossing.select("_g", "_p", (F.sum("_size").over(spread.orderBy("_p")) - F.col("_size")).alias(shift)))
+    shifts = work.save(crossing.select("_g", "_p", *[(F.sum(shift[v]).over(spread.orderBy("_p")) - F.col(shift[v])).alias(shift[v]) for v in values]))
     within = Window.partitionBy(piece, group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    summed = sliced.withColumn(own, F.sum(amount).over(within))
+    summed = sliced.select("*", *[F.sum(amount[v]).over(within).alias(own[v]) for v in values])
     # The table of shifts has at most two rows per slice.
     moved = summed.join(F.broadcast(shifts), F.col(group).eqNullSafe(F.col("_g")) & (F.col(piece) == F.col("_p")), "left")
-    return moved.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(own) + F.coalesce(shift, F.lit(0))).alias(name))
+    return moved.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(own[v]) + F.coalesce(shift[v], F.lit(0))).alias(v) for v in values])
+
+
+def running_total(df: DataFrame, group: str, order: Sequence[Column], value: Column, name: str, partitions: int | None = None) -> DataFrame:
+    """:func:`running_totals` of one value."""
+    return running_totals(df, group, order, {name: value}, partitions)
 
 
 def rank_within(df: DataFrame, group: str, order: Sequence[Column], name: str = "pos", partitions: int | None = None) -> DataFrame:
