@@ -68,11 +68,11 @@ def test_replacing_appending_addressing(spark, tmp_path):
     for _ in range(2):
         files.append_events(spark.createDataFrame([(1, None)], "a int, b string"), log)
     assert files.read_strict_json(spark, log, "a int, b string").count() == 2
-    path = files.write_addressed(str(tmp_path / "d"), {"b": 1, "a": "é"})
-    assert path == files.write_addressed(str(tmp_path / "d"), {"a": "é", "b": 1})
+    path = files.write_addressed(spark, str(tmp_path / "d"), {"b": 1, "a": "é"})
+    assert path == files.write_addressed(spark, str(tmp_path / "d"), {"a": "é", "b": 1})
     open(path, "w").write("other")
     with pytest.raises(ValueError):
-        files.write_addressed(str(tmp_path / "d"), {"a": "é", "b": 1})
+        files.write_addressed(spark, str(tmp_path / "d"), {"a": "é", "b": 1})
 
 
 def test_content_digest(spark):

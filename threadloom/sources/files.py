@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,23 +77,71 @@ def read_where_in(spark: SparkSession, path: str, key: str, wanted: Sequence[str
     return rows
 
 
-def write_replacing(df: DataFrame, folder: str, pointer: str = "CURRENT") -> str:
-    """Writes a table beside the old one, then moves the pointer: readers see the one or the other, never a part."""
-    name = f"data-{uuid.uuid4().hex}"
-    df.write.parquet(f"{folder}/{name}")
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    final, temp = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{x}") for x in (pointer, f".{pointer}-{name}"))
-    fs = final.getFileSystem(conf)
-    stream = fs.create(temp, True)
-    stream.write(bytearray(name.encode()))
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202
+    """The file system of a path, wherever it is, and the path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _put(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file, whole or not at all; False if there is one already. Nothing is ever replaced."""
+    fs, final = _fs(spark, path)
+    _, aside = _fs(spark, f"{final.getParent()}/.{final.getName()}-{uuid.uuid4().hex}")
+    stream = fs.create(aside, True)
+    stream.write(bytearray(text.encode()))
     stream.close()
-    fs.delete(final, False)
-    fs.rename(temp, final)
+    if fs.exists(final) or not fs.rename(aside, final):
+        fs.delete(aside, False)
+        return False
+    return True
+
+
+def _get(spark: SparkSession, path: str) -> str:
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _versions(spark: SparkSession, folder: str, pointer: str) -> list[int]:
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return []
+    return sorted(int(n.rsplit("-", 1)[1]) for n in (x.getPath().getName() for x in fs.listStatus(p)) if re.fullmatch(rf"{re.escape(pointer)}-\d+", n))
+
+
+def write_replacing(df: DataFrame, folder: str, pointer: str = "CURRENT", columns: Sequence[str] | None = None) -> str:
+    """Writes a table beside the old one, then creates the next of numbered pointers: readers see the one or the other, never a part or none.
+
+    ``columns`` fixes the columns and their order. A second writer that is first makes this one fail; the older pointer goes last.
+    """
+    spark, name = df.sparkSession, f"data-{uuid.uuid4().hex}"
+    (df.select(*columns) if columns else df).write.parquet(f"{folder}/{name}")
+    done = _versions(spark, folder, pointer)
+    number = (done[-1] if done else 0) + 1
+    if not _put(spark, f"{folder}/{pointer}-{number}", name):
+        raise RuntimeError(f"another writer replaced {folder}")
+    for old in done[:-1]:
+        fs, p = _fs(spark, f"{folder}/{pointer}-{old}")
+        fs.delete(p, False)
     return f"{folder}/{name}"
 
 
 def read_current(spark: SparkSession, folder: str, pointer: str = "CURRENT") -> DataFrame:
-    return spark.read.parquet(f"{folder}/{spark.read.text(f'{folder}/{pointer}').first()[0]}")
+    done = _versions(spark, folder, pointer)
+    if not done:
+        raise FileNotFoundError(f"no {pointer} in {folder}")
+    return spark.read.parquet(f"{folder}/{_get(spark, f'{folder}/{pointer}-{done[-1]}')}")
+
+
+def write_fixed(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """A Parquet table of exactly these columns, in this order; a missing one is an error."""
+    lacking = [c for c in columns if c not in df.columns]
+    if lacking:
+        raise ValueError("missing columns: " + ", ".join(sorted(lacking)))
+    df.select(*[F.col(f"`{c}`") for c in columns]).write.parquet(path)
 
 
 def append_events(df: DataFrame, path: str) -> None:
@@ -109,25 +158,92 @@ def digest(value: object) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
-def write_addressed(folder: str, value: object) -> str:
+def write_addressed(spark: SparkSession, folder: str, value: object) -> str:
     """Writes a document under the digest of its canonical form; the same document is written once, other bytes never replace it."""
     text = canonical_json(value) + "\n"
-    path = os.path.join(folder, digest(value) + ".json")
-    os.makedirs(folder, exist_ok=True)
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            if f.read() != text:
-                raise ValueError(f"other bytes under {path}")
-        return path
-    temp = f"{path}.{uuid.uuid4().hex}"
-    with open(temp, "w", encoding="utf-8") as f:
-        f.write(text)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(temp, path)
+    path = f"{folder.rstrip('/')}/{digest(value)}.json"
+    if not _put(spark, path, text) and _get(spark, path) != text:
+        raise ValueError(f"other bytes under {path}")
     return path
 
 
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of the bytes of one file, read in pieces."""
+    fs, p = _fs(spark, path)
+    stream, h = fs.open(p), hashlib.sha256()
+    try:
+        size, at = fs.getFileStatus(p).getLen(), 0
+        buffer = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+        while at < size:
+            piece = buffer.toByteArray(stream, int(min(1 << 24, size - at)))
+            h.update(piece)
+            at += len(piece)
+    finally:
+        stream.close()
+    return h.hexdigest()
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``path, digest`` of every file below a path, one task per file; files up to 2 GB."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("digest"))
+
+
+@contextmanager
+def run_lock(spark: SparkSession, path: str) -> Iterator[None]:
+    """Holds a lock file while a block runs; an error if another run holds it. A run that died leaves its file, for a person to remove."""
+    if not _put(spark, path, uuid.uuid4().hex):
+        raise RuntimeError(f"{path} is held by another run")
+    try:
+        yield
+    finally:
+        fs, p = _fs(spark, path)
+        fs.delete(p, False)
+
+
+def sections(text: str, wanted: Sequence[str]) -> str:
+    """The sections of a guide, split at ``## ``, whose titles are wanted, in the order asked for; one that lacks is an error."""
+    found = {}
+    for part in re.split(r"(?m)^## ", text)[1:]:
+        title, _, body = part.partition("\n")
+        found[title.strip()] = body.strip()
+    lacking = [w for w in wanted if w not in found]
+    if lacking:
+        raise ValueError("missing sections: " + ", ".join(lacking))
+    return "\n\n".join(f"## {w}\n{found[w]}" for w in wanted)
+
+
+def json_list(c: Column) -> Column:
+    """A JSON list of strings; null, blank and unreadable text read as the empty list."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+def flat_record(df: DataFrame, lists: Sequence[str], flags: Sequence[str]) -> DataFrame:
+    """A record table as CSV keeps it: lists as JSON in ``<name>_json``, flags as true or false, null as blank."""
+    columns = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if name in lists:
+            columns.append(F.to_json(F.coalesce(c, F.array().cast(kind))).alias(f"{name}_json"))
+        elif name in flags:
+            columns.append(F.when(F.coalesce(c, F.lit(False)), "true").otherwise("false").alias(name))
+        else:
+            columns.append(F.coalesce(c.cast("string"), F.lit("")).alias(name))
+    return df.select(*columns)
+
+
+def nested_record(df: DataFrame, schema: T.StructType, lists: Sequence[str], flags: Sequence[str]) -> DataFrame:
+    """The inverse of :func:`flat_record` for a schema: blank is null, lists are never null; a value that does not fit its type is null."""
+    columns = []
+    for f in schema.fields:
+        if f.name in lists:
+            columns.append(F.coalesce(F.from_json(F.col(f"`{f.name}_json`"), f.dataType), F.array().cast(f.dataType)).alias(f.name))
+        elif f.name in flags:
+            columns.append((F.lower(f"`{f.name}`") == "true").alias(f.name))
+        else:
+            columns.append(F.nullif(F.col(f"`{f.name}`"), F.lit("")).try_cast(f.dataType).alias(f.name))
+    return df.select(*columns)
+
+
 def content_digest(df: DataFrame) -> str:
     """A digest of the rows of a table, whatever their order and files: count and sums of two row hashes."""
     cols = [F.col(f"`{c}`") for c in sorted(df.columns)]
