@@ -196,7 +196,8 @@ def _doubled(state: DataFrame, keep: bool = False) -> DataFrame:
 def ancestor_pairs(tree: DataFrame) -> DataFrame:
     """``ancestor, descendant, distance`` from a hierarchy with paths: every pair above one another within a tree.
 
-    One explode of each path, no join. Nodes of cycles have no descendants list: their rows say so by ``in_cycle`` and are left out.
+    One explode of each path, no join. A tree that hangs below a cycle counts, with the node of the cycle that bears it as its root; nodes of
+    one cycle are above one another without end and give no pairs among themselves.
     """
-    rows = tree.where("in_cycle = 0 and depth > 0").select("node", "depth", F.posexplode("path").alias("_pos", "ancestor"))
+    rows = tree.where("depth > 0").select("node", "depth", F.posexplode("path").alias("_pos", "ancestor"))
     return rows.where("_pos < depth").select("ancestor", F.col("node").alias("descendant"), (F.col("depth") - F.col("_pos")).alias("distance"))

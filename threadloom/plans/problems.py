@@ -36,7 +36,7 @@ def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """Every message with each of its descendants and the steps between them, trees only."""
+    """Every message with each of its descendants and the steps between them, in trees and in what hangs below cycles."""
     tree = hierarchy(_messages(spark, folder), F.col("id"), F.col("parent"), with_path=True)
     return ancestor_pairs(tree).select(F.col("ancestor").cast("string").alias("tweet_id"), F.col("descendant").cast("string").alias("descendant_id"), F.col("distance").cast("int").alias("distance"))
 
@@ -71,7 +71,8 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
     """The whole row kept of every message id, its id in plain form beside the delivered one."""
-    return _delivered(spark, folder).kept().select(F.col("store_key").cast("string").alias("message_id"), *table(spark, folder, "records").columns)
+    columns = [F.unix_micros(c).cast("string").alias("received_us") if c == "received_at" else F.col(c) for c in table(spark, folder, "records").columns]
+    return _delivered(spark, folder).kept().select(F.col("store_key").cast("string").alias("message_id"), *columns)
 
 
 def sql_id(column: str) -> str:
@@ -115,13 +116,13 @@ SELECT CAST(id AS VARCHAR) AS tweet_id, array_to_string(list_reverse(CASE WHEN l
   CAST(CASE WHEN looped THEN back - 1 ELSE len(trail) - 1 END AS INTEGER) AS depth, CAST(looped AS INTEGER) AS in_cycle FROM ends""",
     "p2_descendants": f"""{SQL_WALK}
 SELECT CAST(trail[i] AS VARCHAR) AS tweet_id, CAST(id AS VARCHAR) AS descendant_id, CAST(i - 1 AS INTEGER) AS distance
-FROM (SELECT id, trail, unnest(range(2, len(trail) + 1)) AS i FROM ends WHERE NOT looped)""",
+FROM (SELECT id, trail, unnest(range(2, CASE WHEN looped THEN back + 1 ELSE len(trail) + 1 END)) AS i FROM ends)""",
     "p4_found": SQL_VALUES + " WHERE len(vals) >= 2",
     "p4_values": SQL_VALUES,
     "p6_found": f"""SELECT source_record FROM (
   SELECT source_record, row_number() OVER (PARTITION BY id ORDER BY source_record) AS n
   FROM (SELECT source_record, {sql_id('tweet_id')} AS id FROM records) WHERE id IS NOT NULL) WHERE n > 1""",
-    "p6_kept": f"""SELECT CAST(id AS VARCHAR) AS message_id, * EXCLUDE (id, n)
+    "p6_kept": f"""SELECT CAST(id AS VARCHAR) AS message_id, CAST(epoch_us(received_at) AS VARCHAR) AS received_us, * EXCLUDE (id, n, received_at)
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source_record) AS n
   FROM (SELECT *, {sql_id('tweet_id')} AS id FROM records) WHERE id IS NOT NULL) WHERE n = 1""",
 }
