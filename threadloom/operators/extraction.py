@@ -47,6 +47,31 @@ def parsed(records: DataFrame) -> DataFrame:
     return rows.withColumn("digest", row_digest(F.col("author"), F.col("inbound"), F.unix_micros("moment"), F.col("text"), F.array_join(F.col("responses").cast("array<string>"), ","), F.col("parent")))
 
 
+def require_author(rows: DataFrame, author: str) -> None:
+    """An error if no row is by this author, naming the spellings that differ only in case."""
+    # At most one row per spelling of one name.
+    found = [r["author"] for r in rows.where(F.lower("author") == author.lower()).select("author").distinct().collect()]
+    if author not in found:
+        raise ValueError(f"no rows by {author}" + (f"; other spellings: {', '.join(sorted(found))}" if found else ""))
+
+
+def audit_sample(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """The ``size`` rows first by the digest of their key."""
+    return rows.orderBy(F.sha2(F.col(key).cast("string"), 256), key).limit(size)
+
+
+def flag_union(relations: DataFrame, messages: DataFrame, members: DataFrame) -> DataFrame:
+    """``thread_id, flags``: the flags of all messages of a thread and of the links that touch it, at either end, sorted.
+
+    ``relations`` as of :func:`relationships`; statuses other than ``consistent`` and ``parent_response_unspecified`` are flags.
+    """
+    own = messages.select("id", F.explode("flags").alias("flag"))
+    odd = relations.where("status not in ('consistent', 'parent_response_unspecified')")
+    ends = odd.select(F.explode(F.array("parent", "child")).alias("id"), F.col("status").alias("flag"))
+    both = own.unionByName(ends).join(members.select("id", "thread_id"), "id")
+    return both.groupBy("thread_id").agg(F.array_sort(F.collect_set("flag")).alias("flags"))
+
+
 def canonical(rows: DataFrame) -> DataFrame:
     """The first row of each id of :func:`parsed`, with ``copies`` and ``variants``; rows without id are left out.
 

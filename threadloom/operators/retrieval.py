@@ -50,7 +50,8 @@ def lexical_topk(weights: DataFrame, queries: DataFrame, idf: DataFrame, k: int
     counts = queries.select(F.col("query_id").alias("id"), F.explode(terms(F.col("text"), ngrams)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
     q = weigh(counts, idf).join(queries.select(F.col("query_id").alias("id"), F.col("group_id").alias("own")), "id").select(F.col("id").alias("query_id"), "own", "term", F.col("weight").alias("qw"))
     hits = q.join(weights, "term").where("own is null or group_id is null or own <> group_id")
-    scores = hits.groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")).where("score > 0")
+    # Rounded, so that equal scores are ties whatever the order of the sum.
+    scores = hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), 8).alias("score")).where("score > 0")
     return _top(scores, k)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,17 +52,28 @@ def ranked(pool: DataFrame, seed: int, namespace: str) -> DataFrame:
     return keyed.withColumn("_best", best).where("_best = 1").drop("_best")
 
 
-def uniform(pool: DataFrame, size: int, seed: int, namespace: str) -> DataFrame:
-    """``position, example_id, group_id`` of the ``size`` first groups by hash."""
+class Shortfall(ValueError):
+    """A pool holds fewer groups than a sample asks for."""
+
+
+def _enough(found: int, wanted: int, name: str, strict: bool) -> None:
+    if strict and found < wanted:
+        raise Shortfall(f"{name}: {found} of {wanted}")
+
+
+def uniform(pool: DataFrame, size: int, seed: int, namespace: str, strict: bool = False) -> DataFrame:
+    """``position, example_id, group_id`` of the ``size`` first groups by hash; with ``strict`` fewer groups are an error."""
+    if strict:
+        _enough(pool.select("group_id").distinct().limit(size).count(), size, namespace, strict)
     top = ranked(pool, seed, namespace).orderBy("rank_key", "example_id").limit(size)
     return top.select(F.row_number().over(Window.orderBy("rank_key", "example_id")).alias("position"), "example_id", "group_id")
 
 
-def stratified(pool: DataFrame, size: int, seed: int) -> DataFrame:
+def stratified(pool: DataFrame, size: int, seed: int, strict: bool = False) -> DataFrame:
     """``position, example_id, group_id, stratum``: an equal number from every coverage bucket in order, then the remainder by hash.
 
     Groups taken by an earlier bucket are left out of later ones. Per bucket at most ``size`` rows come to the driver: the result's own
-    bound.
+    bound. With ``strict`` a sample that falls short is an error.
     """
     names = [n for n, _ in COVERAGE] + ["short_or_context_limited", "general"]
     per = max(1, size // len(names))
@@ -75,13 +88,15 @@ def stratified(pool: DataFrame, size: int, seed: int) -> DataFrame:
         for r in ranked(free, seed, f"training:{name}").orderBy("rank_key", "example_id").limit(want).collect():
             taken.append((len(taken) + 1, r["example_id"], r["group_id"], f"coverage:{name}"))
             used.append(r["group_id"])
+    _enough(len(taken), size, "stratified", strict)
     return pool.sparkSession.createDataFrame(taken[:size], "position int, example_id string, group_id string, stratum string")
 
 
-def challenge(pool: DataFrame, random_size: int, challenge_size: int, seed: int) -> DataFrame:
+def challenge(pool: DataFrame, random_size: int, challenge_size: int, seed: int, strict: bool = False) -> DataFrame:
     """``position, example_id, group_id, stratum``: a random stratum, then turns over the challenge flags that skip groups already taken.
 
-    A flag can give at most ``random_size + challenge_size`` candidates to skip or take, so only so many per flag leave Spark.
+    A flag can give at most ``random_size + challenge_size`` candidates to skip or take, so only so many per flag leave Spark. With ``strict`` a
+    stratum that falls short is an error.
     """
     first = ranked(pool, seed, "golden:random").orderBy("rank_key", "example_id").limit(random_size).collect()
     out = [(i + 1, r["example_id"], r["group_id"], "random") for i, r in enumerate(first)]
@@ -98,13 +113,17 @@ def challenge(pool: DataFrame, random_size: int, challenge_size: int, seed: int)
             out.append((len(out) + 1, r["example_id"], r["group_id"], f"challenge:{f}"))
             used.add(r["group_id"])
             left, live = left - 1, True
+    _enough(len(first), random_size, "random", strict)
+    _enough(challenge_size - left, challenge_size, "challenge", strict)
     return pool.sparkSession.createDataFrame(out, "position int, example_id string, group_id string, stratum string")
 
 
-def extend(queue: DataFrame, pool: DataFrame, size: int, seed: int, namespace: str) -> DataFrame:
-    """The queue with ``size`` more records of groups it does not hold, at the positions that follow."""
+def extend(queue: DataFrame, pool: DataFrame, size: int, seed: int, namespace: str, buckets: Sequence[str] | None = None, strict: bool = False) -> DataFrame:
+    """The queue with ``size`` more records of groups it does not hold, at the positions that follow; of the named coverage buckets only, if any are named."""
     fresh = pool.join(queue.select("group_id"), "group_id", "left_anti")
-    more = uniform(fresh, size, seed, namespace)
+    if buckets is not None:
+        fresh = fresh.where(bucket(F.col("text"), F.col("context")).isin(list(buckets)))
+    more = uniform(fresh, size, seed, namespace, strict)
     last = queue.agg(F.coalesce(F.max("position"), F.lit(0)).alias("_last"))
     more = more.crossJoin(F.broadcast(last)).select((F.col("position") + F.col("_last")).alias("position"), "example_id", "group_id")
     return queue.select("position", "example_id", "group_id").unionByName(more)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.plans import pipeline, problems
+from threadloom.plans import checks, pipeline, problems
 
-QUERIES = {**pipeline.QUERIES, **problems.QUERIES}
-SQL = {**pipeline.SQL, **problems.SQL}
+QUERIES = {**pipeline.QUERIES, **checks.QUERIES, **problems.QUERIES}
+SQL = {**pipeline.SQL, **checks.SQL, **problems.SQL}

@@ -158,6 +158,12 @@ def author_variants(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.lower("author").alias("name")).agg(F.count("*").alias("n"), F.count_distinct("author").alias("spellings"), F.array_join(F.array_sort(F.collect_set("author")), ",").alias("authors"))
 
 
+@query("SELECT source_record, sha256(CAST(source_record AS VARCHAR)) AS digest FROM records ORDER BY digest LIMIT 100")
+def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The hundred rows that an audit looks at, by digest."""
+    return extraction.audit_sample(table(spark, folder, "records").select("source_record"), "source_record", 100).withColumn("digest", F.sha2(F.col("source_record").cast("string"), 256))
+
+
 @query("SELECT count(*) AS n, count(DISTINCT inbound) AS spellings, array_to_string(list_sort(list(DISTINCT inbound)), '|') AS raw_values FROM records")
 def inbound_values(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct raw spellings of the inbound flag."""
@@ -215,6 +221,20 @@ def thread_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("thread_id", "messages", "inbound_messages", "outbound_messages", "support_messages", _joined(F.col("other_outbound_authors")).alias("others"), F.unix_micros("started_at").cast("string").alias("started_us"), F.unix_micros("ended_at").cast("string").alias("ended_us"), "conflicting_duplicates")
 
 
+_FLAGS = """list_filter([CASE WHEN stamp IS NULL THEN 'missing_timestamp' WHEN moment IS NULL THEN 'invalid_timestamp' END, CASE WHEN shown IS NULL THEN 'missing_text' END,
+  CASE WHEN inbound IS NULL THEN 'invalid_inbound' END, CASE WHEN len(parts) > 0 AND parent IS NULL THEN 'invalid_parent_format' END], lambda x: x IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_RELATED}, flagged AS (SELECT id, unnest({_FLAGS}) AS flag FROM messages UNION ALL SELECT unnest([parent, child]), status FROM related WHERE status NOT IN ('consistent', 'parent_response_unspecified'))
+SELECT CAST(root_label AS VARCHAR) AS thread_id, array_to_string(list_sort(list(DISTINCT flag)), ',') AS flags FROM flagged JOIN members USING (id) GROUP BY 1""")
+def thread_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Flags of the messages and links of every relevant thread."""
+    m = _messages(spark, folder)
+    members = _members(m)
+    out = extraction.flag_union(extraction.relationships(m, members), m, members)
+    return out.select("thread_id", _joined(F.col("flags")).alias("flags"))
+
+
 @query(f"""WITH RECURSIVE {_THREADS}, sizes AS (SELECT count(*) AS n FROM members GROUP BY root_label)
 SELECT count(*) AS threads, min(n) AS smallest, round(median(n), 6) AS middle, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.9), 6) AS p90, max(n) AS largest FROM sizes""")
 def thread_sizes(spark: SparkSession, folder: str) -> DataFrame:
@@ -278,12 +298,14 @@ def redacted_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(rf"""WITH {_REDACT} SELECT CAST(sum(len(regexp_extract_all(t, '(?i)[{_W}.+-]+@[{_W}.-]+\.[A-Za-z]{{2,}}'))) AS BIGINT) AS email,
   CAST(sum((len(d) - len(replace(d, '[PHONE]', ''))) / 7) AS BIGINT) - CAST(sum((len(c) - len(replace(c, '[PHONE]', ''))) / 7) AS BIGINT) AS phone,
+  CAST(sum((len(b) - len(replace(b, '[URL]', ''))) / 5) AS BIGINT) - CAST(sum((len(a) - len(replace(a, '[URL]', ''))) / 5) AS BIGINT) AS url, CAST(sum((len(c) - len(replace(c, '[IP]', ''))) / 4) AS BIGINT) - CAST(sum((len(b) - len(replace(b, '[IP]', ''))) / 4) AS BIGINT) AS ip_address,
+  CAST(sum((len(f) - len(replace(f, '[CUSTOMER]', ''))) / 10) AS BIGINT) - CAST(sum((len(e) - len(replace(e, '[CUSTOMER]', ''))) / 10) AS BIGINT) AS customer_handle,
   CAST(sum((len(e) - len(replace(e, '[BRAND]', ''))) / 7) AS BIGINT) AS brand_handle, CAST(sum((len(g) - len(replace(g, '[NUMBER]', ''))) / 8) AS BIGINT) AS long_number FROM r7""")
 def redaction_totals(spark: SparkSession, folder: str) -> DataFrame:
     """How often each class was replaced."""
     rows = table(spark, folder, "records").select(text.normalized(F.col("text")).alias("t"))
     steps = {name: count for name, count, _ in text.redaction_steps(F.col("t"), [AUTHOR])}
-    return rows.agg(*[F.sum(steps[k]).cast("bigint").alias(k) for k in ("email", "phone", "brand_handle", "long_number")])
+    return rows.agg(*[F.sum(steps[k]).cast("bigint").alias(k) for k in ("email", "url", "ip_address", "phone", "brand_handle", "customer_handle", "long_number")])
 
 
 _FORM = f"trim(regexp_replace(replace(lower(nfc_normalize(customer_text_normalized)), 'º', 'o'), '{_SPACES}', ' ', 'g'), ' ')"
@@ -353,6 +375,18 @@ def document_classes(spark: SparkSession, folder: str) -> DataFrame:
     return similarity.jaccard_pairs(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))[1]
 
 
+@query(f"""WITH RECURSIVE pairs AS (SELECT DISTINCT lower({_t('left_example_id')}) AS a, lower({_t('right_example_id')}) AS b FROM near_duplicate_pairs WHERE similarity >= 0.92 AND right_example_id IS NOT NULL),
+good AS (SELECT * FROM pairs WHERE a <> '' AND b <> '' AND a <> b), both_ways AS (SELECT a, b FROM good UNION SELECT b, a FROM good),
+reach AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen), labels AS (SELECT node, min(seen) AS label FROM reach GROUP BY 1)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT least(a, b), greatest(a, b) FROM good)) AS near_pairs, count(DISTINCT label) AS near_groups, count(*) AS members FROM labels""")
+def near_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct near pairs, the groups they form, and the examples in them."""
+    pairs = table(spark, folder, "near_duplicate_pairs").where("similarity >= 0.92").select(ids.name_id(F.col("left_example_id")).alias("a"), ids.name_id(F.col("right_example_id")).alias("b")).where("a <> b")
+    pairs = Workspace(spark, "pairs").save(pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+    labels = connected_components(pairs).agg(F.count_distinct("label").alias("near_groups"), F.count("*").alias("members"))
+    return pairs.agg(F.count("*").alias("near_pairs")).crossJoin(F.broadcast(labels))
+
+
 # -- groups and splits ---------------------------------------------------------------------------------------------------------------
 
 _GROUPS = f"""ex AS (SELECT DISTINCT {_EX} AS e, lower({_t('thread_id')}) AS t, {_FORM} AS f FROM support_examples),
@@ -405,6 +439,22 @@ def largest_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _groups(spark, folder).groupBy("group_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group_id").limit(10)
 
 
+@query(f"WITH RECURSIVE {_GROUPS}, sizes AS (SELECT count(*) AS n FROM grouped GROUP BY group_id) SELECT count(*) AS groups, max(n) AS largest, count(*) FILTER (WHERE n > 100) AS above_100, count(*) FILTER (WHERE n > 1) AS shared FROM sizes")
+def group_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Number and sizes of groups."""
+    n = _groups(spark, folder).groupBy("group_id").agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("groups"), F.max("n").alias("largest"), F.count_if(F.col("n") > 100).alias("above_100"), F.count_if(F.col("n") > 1).alias("shared"))
+
+
+@query(f"WITH RECURSIVE {_CHRONO} SELECT split, CAST(epoch_us(min(s)) AS VARCHAR) AS first_us, CAST(epoch_us(max(x)) AS VARCHAR) AS last_us FROM iv JOIN named USING (group_id) GROUP BY 1")
+def split_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """First and last time of every split."""
+    rows = _intervals(spark, folder)
+    named = splitting.chronological(rows).select("group_id", "split").distinct()
+    per = rows.join(named, "group_id").groupBy("split").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    return per.select("split", F.unix_micros("a").cast("string").alias("first_us"), F.unix_micros("b").cast("string").alias("last_us"))
+
+
 @query(f"WITH RECURSIVE {_CHRONO} SELECT epoch_us(c1) AS train_cutoff_us, epoch_us(c2) AS test_cutoff_us FROM cut")
 def split_cutoffs(spark: SparkSession, folder: str) -> DataFrame:
     """The two times that separate the splits."""
@@ -554,15 +604,15 @@ def tfidf_rows(spark: SparkSession, folder: str) -> DataFrame:
 scores AS (SELECT q.id AS query_id, d.id, round(sum(q.weight * d.weight), 8) AS score FROM weights q JOIN weights d USING (term) JOIN grp a ON a.id = q.id JOIN grp b ON b.id = d.id
   WHERE q.id % 50 = 0 AND (a.g IS NULL OR b.g IS NULL OR a.g <> b.g) GROUP BY 1, 2),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM scores WHERE score > 0)
-SELECT query_id, CAST(r AS INTEGER) AS rank, round(score, 5) AS score FROM top WHERE r <= 3""")
+SELECT query_id, id, CAST(r AS INTEGER) AS rank, round(score, 5) AS score FROM top WHERE r <= 3""")
 def lexical_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """For every document whose id is divisible by 50, the scores of the three nearest of other authors."""
+    """For every document whose id is divisible by 50, the three nearest of other authors and their scores."""
     rows = Workspace(spark, "corpus").save(_corpus(spark, folder))
     idf, w = retrieval.fit(rows.select("id", "text"))
     w = w.join(rows.select("id", "group_id"), "id")
     queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "text", "group_id")
     out = retrieval.lexical_topk(w, queries, idf, 3)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"))
+    return out.select("query_id", "id", F.col("rank").cast("int").alias("rank"), F.round("score", 5).alias("score"))
 
 
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id AS id, list_cosine_similarity(q.v, d.v) AS score FROM e q, e d WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
