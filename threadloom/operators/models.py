@@ -56,7 +56,10 @@ class IntentModel:
         if fit.summary.totalIterations >= self.rounds:
             self.blocker = f"no convergence in {self.rounds} rounds"
             return self
-        self.model = fit
+        spark = training.sparkSession
+        coefficients = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fit.coefficientMatrix.toArray().T)], "_at int, coefficients array<double>")
+        self.model = work.save(self.idf.join(coefficients, "_at").select("term", "idf", "coefficients"))
+        self.intercepts = [float(x) for x in fit.interceptVector]
         return self
 
     def _vectors(self, texts: DataFrame, weights: DataFrame) -> DataFrame:
@@ -76,11 +79,16 @@ class IntentModel:
             return texts.select("id", F.lit(self.majority).cast("string").alias("intent"))
         if self.model is None:
             raise Blocked(self.blocker or "not trained")
-        rows = texts.select("id", F.coalesce("text", F.lit("")).alias("text"))
-        counts = rows.select("id", F.explode(retrieval.terms(F.col("text"), self.ngrams)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
-        data = self._vectors(rows, retrieval.weigh(counts, self.idf.select("term", "idf")))
+        counts = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).select("id", F.explode(retrieval.terms(F.col("text"), self.ngrams)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
+        weights = retrieval.weigh(counts, self.model.select("term", "idf"))
+        table = self.model.select("term", "coefficients")
+        known = weights.join(F.broadcast(table) if fits(table, VOCABULARY_BYTES) else table, "term")
+        # One sum per class; they combine on the map side, so a text never has to be gathered.
+        sums = known.groupBy("id").agg(*[F.sum(F.col("weight") * F.col("coefficients")[i]).alias(f"_{i}") for i in range(len(self.classes))])
+        scores = F.array(*[F.coalesce(F.col(f"_{i}"), F.lit(0.0)) + F.lit(b) for i, b in enumerate(self.intercepts)])
         names = F.array(*[F.lit(c) for c in self.classes])
-        return self.model.transform(data).select("id", F.element_at(names, F.col("prediction").cast("int") + 1).alias("intent"))
+        best = texts.select("id").join(sums, "id", "left").withColumn("_s", scores)
+        return best.select("id", F.element_at(names, F.array_position("_s", F.array_max("_s")).cast("int")).alias("intent"))
 
 
 def _by_term():  # noqa: ANN202
