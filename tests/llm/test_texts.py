@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tests.llm import held_out as held_out_texts
 from threadloom.llm import pii, pii_seeds
 from threadloom.llm.leakage import Index, item_names, leak_report, leaked_windows, words
-from threadloom.llm.mixture import TOKENIZER, mix, mixed_shares, position, source_name
+from threadloom.llm.mixture import mix, mixed_shares, position, source_name
+from threadloom.llm.queries_text import TOKENIZER
 from threadloom.llm.residue import ResidueModel, residue, without_residue
 
 ITEM = "The patient baker from Leeds waits forty minutes before she paints seven bicycles at dawn and tells nobody"
@@ -30,10 +31,10 @@ def test_verbatim_and_changed(spark):
     w = ITEM.split()
     texts = [
         "xx " + ITEM.upper() + " yy", " ".join(w[:10]), " ".join(w[:9]) + " stop", "<b>" + "</b> <i>".join(w[3:14]) + "</i>", None, "", "x " * 30000 + " ".join(w[2:12]),
-        ITEM.replace("forty", "90").replace("seven", "12"), ITEM.replace("waits", "boats").replace("bicycles", "cars"),
+        ITEM.replace("forty", "90").replace("seven", "12"), ITEM.replace("waits", "boats").replace("dawn", "dusk"), "99 " + " ".join(w[5:15]),
     ]
     got = leaks(spark, texts, [(1, ITEM), (2, "too short an item"), (3, None), (4, ITEM)])
-    assert {(x.doc_id, x.item_id) for x in got.where("verbatim").collect()} == {(d, i) for d in (0, 1, 3, 6) for i in (1, 4)}
+    assert {(x.doc_id, x.item_id) for x in got.where("verbatim").collect()} == {(d, i) for d in (0, 1, 3, 6, 9) for i in (1, 4)}
     report = {(x.doc_id, x.item_id): x for x in leak_report(got).collect()}
     assert report[(7, 1)].verbatim_windows == 0 and report[(7, 1)].changed_windows > 0 and report[(7, 1)].consistent
     assert (8, 1) not in report
@@ -43,7 +44,7 @@ def test_blocks_and_empty(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     items = spark.createDataFrame([(i, ITEM) for i in range(5)], "item_id long, text string")
     args = (docs, F.col("doc_id"), F.col("text"))
-    assert leaked_windows(*args, items, F.col("item_id"), F.col("text"), block=2).select("item_id").distinct().count() == 5
+    assert leaked_windows(*args, items, F.col("item_id"), F.col("text"), block=40).select("item_id").distinct().count() == 5
     assert leaked_windows(*args, items.limit(0), F.col("item_id"), F.col("text")).count() == 0
     assert leaked_windows(docs.limit(0), F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text")).count() == 0
 
@@ -70,7 +71,7 @@ def test_names_that_no_item_has(spark):
     # The first place is a name of the items, the others are not; "rose" is a word of the items, numbers and units are no names.
     others = ["Leeds", "Bristol", "bristol", "Rose", "rose", "ninety", "42", "minutes"]
     texts = [ITEM.replace("Leeds", w) for w in others] + [ITEM.replace("Leeds", "Bristol").replace("forty", "90")]
-    for block in (1, 2000):
+    for block in (1, 200_000):
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         items = spark.createDataFrame([(1, ITEM), (2, "the rose grows"), (3, "we met in LEEDS, then left Leeds")], "item_id long, text string")
         got = leaked_windows(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"), block=block)
@@ -85,6 +86,20 @@ def test_names_that_no_item_has(spark):
         assert whole[8][1] > 5 and whole[8][2]
 
 
+def test_changed_number_name_and_unit_match_in_every_window(spark):
+    changes = {"forty": "3", "seven": "eighty", "Leeds": "Oslo", "minutes": "fortnights", "bicycles": "kayaks"}
+    texts = [ITEM.replace(a, b) for a, b in changes.items()]
+    everything = ITEM
+    for a, b in changes.items():
+        everything = everything.replace(a, b)
+    docs = spark.createDataFrame(list(enumerate([*texts, everything])), "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM), (2, "we met in LEEDS, then left Leeds")], "item_id long, text string")
+    got = {x.doc_id: (x.verbatim_windows + x.changed_windows, x.consistent) for x in leak_report(leaked_windows(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))).collect()}
+    # The window that starts with the unit does not hold its number, so there the unit is a plain word.
+    n = len(ITEM.split()) - 9
+    assert got == {i: (n - (i in (3, 5)), True) for i in range(6)}
+
+
 REAL = [
     "Your mail greeted me as {{first_name}}, please fix the greeting. The queue is fine now.", "Contact on file: [EMAIL], [PHONE]; a refund was sent to [CUSTOMER].", "Someone wrote lorem ipsum into the playlist title, funny.",
     "I get a 404 on the voucher link from your mail, what now?", "The web player told me to enable JavaScript, which I had, and the queue still shows an empty page.", "<p>The radio works.</p> 3 < 5 and #1 of 20 at 50% [sic: shortened]", "",
@@ -211,10 +226,10 @@ def mixture(spark):
 
 def test_mixture_meets_shares(spark):
     docs, targets = mixture(spark)
-    got = {x.source: x for x in mixed_shares(docs, targets).collect()}
+    got = {x.source: x for x in mixed_shares(docs, targets, TOKENIZER).collect()}
     assert abs(got["small"].actual_share - 0.2) < 0.01 and got["small"].most_uses == 4 and got["big_source"].most_uses == 1
     assert got["absent"].tokens == 0 and got["absent"].actual_share == 0
-    rows = mix(docs, targets).collect()
+    rows = mix(docs, targets, TOKENIZER).collect()
     assert [x.position for x in rows] == sorted(x.position for x in rows) and 0 <= rows[0].position and rows[-1].position <= 1
     assert len({(x.doc_id, x.use) for x in rows}) == len(rows)
     early, late = (sum(x.tokens for x in rows if x.source == "small" and lo <= x.position < hi) for lo, hi in ((0, 0.5), (0.5, 1.1)))
@@ -223,9 +238,18 @@ def test_mixture_meets_shares(spark):
 
 def test_mixture_that_wants_too_much(spark):
     docs, targets = mixture(spark)
-    got = {x.source: x for x in mixed_shares(docs, targets, total_tokens=10**9).collect()}
+    got = {x.source: x for x in mixed_shares(docs, targets, TOKENIZER, total_tokens=10**9).collect()}
     assert got["small"].most_uses == 4 and got["small"].documents == 40 and got["big_source"].documents == 900
-    assert mix(docs.limit(0), targets).count() == 0 and mix(docs, targets.limit(0)).count() == 0
+    assert mix(docs.limit(0), targets, TOKENIZER).count() == 0 and mix(docs, targets.limit(0), TOKENIZER).count() == 0
+
+
+def test_a_stated_schedule_is_followed(spark):
+    docs, targets = mixture(spark)
+    rows = mix(docs, targets, TOKENIZER, slopes={"small": -1.0}).where("source = 'small'").collect()
+    early, late = (sum(x.tokens for x in rows if lo <= x.position < hi) for lo, hi in ((0, 0.5), (0.5, 1.1)))
+    assert abs(early / (early + late) - 0.75) < 0.03
+    with pytest.raises(ValueError):
+        mix(docs, targets, TOKENIZER, slopes={"small": 2.0})
 
 
 def test_positions_invert_the_schedule(spark):

@@ -1,8 +1,9 @@
 """Problem 8: evaluation passages inside training text.
 
-Items and documents are reduced to words, words to templates: numbers, units and names become typed slots. Windows of template words are
-joined by hash, then the slots are compared: all equal is a verbatim passage, a consistent substitution a re-parameterised one. A slot of a
-name takes any name of an item, any word that no item has and any word with a capital in the document, but no number or unit.
+Items and documents are reduced to words, words to templates: numbers, units and names become typed slots. A unit is whatever is counted: the
+word right after a number. Windows of template words are joined by hash, then the slots are compared: all equal is a verbatim passage, a
+consistent substitution a re-parameterised one. A slot of a name takes any name of an item, any word that no item has and any word with
+a capital in the document, but no number or unit.
 """
 
 from __future__ import annotations
@@ -20,12 +21,6 @@ from threadloom.workspace import Workspace
 _MARKUP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:[A-Za-z][A-Za-z0-9]{1,30}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});", re.S)
 _WORD = re.compile(r"[^\W_]+")
 
-#: Units of measure and time, lower case, in the languages of the items.
-UNITS = frozenset(
-    "second seconds minute minutes hour hours day days week weeks month months year years percent km mile miles metre metres kg gram grams euro euros dollar dollars mb gb "
-    "segundo segundos minuto minutos hora horas día días semana semanas mes meses año años sekunde sekunden minuten stunde stunden tag tage woche wochen monat monate jahr jahre "
-    "seconde secondes heure heures jour jours semaine semaines mois an ans prozent pour".split()
-)
 #: Number words below a hundred and their parts, lower case.
 NUMBERS = frozenset(
     "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand "
@@ -45,14 +40,23 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _number(word: str) -> bool:
+    return word.isdigit() or word in NUMBERS
+
+
 def _template(word: str, names: set[str]) -> str:
-    if word.isdigit() or word in NUMBERS:
+    if _number(word):
         return _NUM
-    if word in UNITS:
-        return _UNIT
     return _NAME if word in names else word
 
 
+def _counted(ids: np.ndarray, number: np.uint64, unit: np.uint64) -> np.ndarray:
+    """``ids`` of one text with the unit in place of every word that follows a number and is none."""
+    out, is_number = ids.copy(), ids == number
+    out[1:][is_number[:-1] & ~is_number[1:]] = unit
+    return out
+
+
 def _cases(texts: Iterable[str | None]) -> tuple[set[str], set[str]]:
     """Words with a capital inside a sentence, and words without, in lower case."""
     upper, lower = set(), set()
@@ -85,14 +89,14 @@ def _capitals(text: str, tokens: list[str]) -> list[bool]:
     return [w in some for w in tokens]
 
 
-def _rolled(ids: np.ndarray, span: int) -> np.ndarray:
-    """Polynomial hashes of all windows of ``span`` ids."""
+def _rolled(plain: np.ndarray, ids: np.ndarray, span: int) -> np.ndarray:
+    """Polynomial hashes of all windows of ``span`` ids. The first word of a window is taken plain: what stands before it is not in the window."""
     out = np.zeros(max(0, len(ids) - span + 1), dtype=np.uint64)
     if not len(out):
         return out
     with np.errstate(over="ignore"):
         for k in range(span):
-            out = out * _BASE + ids[k : len(ids) - span + 1 + k]
+            out = out * _BASE + (plain if k == 0 else ids)[k : len(ids) - span + 1 + k]
     return out
 
 
@@ -106,29 +110,27 @@ class Index:
 
     def __init__(self, items: pd.DataFrame, names: set[str], span: int, ordinary: Set[str] = frozenset()):
         self.span, self.ordinary, self.vocabulary, rows = span, ordinary, {}, []
-        codes: dict[str, int] = {}
+        codes: dict[str, int] = {_NUM: 1, _UNIT: 2, _NAME: 3}
+        # Odd multipliers spread small codes over 64 bits; 0 stands for words that no item has.
+        spread = lambda code: np.uint64((code * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
+        self.number, self.unit, self.name = spread(1), spread(2), spread(3)
+        places: list[tuple[int, ...]] = []
+        for w in NUMBERS:
+            self.vocabulary[w] = int(self.number)
         for item, text in zip(items["item"], items["text"], strict=True):
             tokens = words(text)
             for w in tokens:
-                t = _template(w, names)
-                # Odd multipliers spread small codes over 64 bits; 0 stands for words that no item has.
-                self.vocabulary[w] = (codes.setdefault(t, len(codes) + 1) * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF
-            ids = _word_ids(tokens, self.vocabulary)
-            for at, h in enumerate(_rolled(ids, span).tolist()):
+                self.vocabulary[w] = int(spread(codes.setdefault(_template(w, names), len(codes) + 1)))
+            plain = _word_ids(tokens, self.vocabulary)
+            ids = _counted(plain, self.number, self.unit)
+            named, first = ids == self.name, plain == self.name
+            for at, h in enumerate(_rolled(plain, ids, span).tolist()):
                 rows.append((item, h, " ".join(tokens[at : at + span])))
-        for w in NUMBERS | UNITS:
-            code = codes.get(_NUM if w in NUMBERS else _UNIT)
-            if code:
-                self.vocabulary.setdefault(w, (code * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
-        number = codes.get(_NUM)
-        self.number = ((number * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF) if number else 0
-        name = codes.get(_NAME)
-        self.name = np.uint64((name * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF if name else 0)
+                places.append(tuple(([0] if first[at] else []) + (np.flatnonzero(named[at + 1 : at + span]) + 1).tolist()))
         self.windows = pd.DataFrame(rows, columns=["item_id", "_hash", "_item_words"])
         self.windows["_hash"] = self.windows["_hash"].astype("uint64").to_numpy().view("int64")
         #: Hashes by the places of names in their windows: what stands there in a document is free.
         self.hashes: dict[tuple[int, ...], np.ndarray] = {}
-        places = [tuple(k for k, w in enumerate(t.split(" ")) if name and self.vocabulary[w] == int(self.name)) for t in self.windows["_item_words"]]
         for p, group in self.windows["_hash"].groupby(pd.Series(places, index=self.windows.index, dtype="object")):
             self.hashes[p] = np.unique(group.to_numpy())
         powers = [1]
@@ -136,19 +138,19 @@ class Index:
             powers.append(powers[-1] * int(_BASE) & 0xFFFFFFFFFFFFFFFF)
         self.powers = np.array(powers[::-1], dtype=np.uint64)
 
-    def _matches(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, tuple[int, ...]]]:
+    def _matches(self, plain: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, tuple[int, ...]]]:
         """Start, hash and free places of every window that some item has; ``starts`` are the places where a window may start."""
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-        missing = unknown[starts + self.span] - unknown[starts]
+        missing = unknown[starts + self.span] - unknown[starts + 1] + (plain[starts] == 0)
         most = max(map(len, self.hashes))
         starts, missing = starts[missing <= most], missing[missing <= most]
-        whole = _rolled(ids, self.span)[starts]
+        whole = _rolled(plain, ids, self.span)[starts]
         out = []
         with np.errstate(over="ignore"):
             for free, hashes in self.hashes.items():
                 h, left = whole.copy(), missing.copy()
                 for k in free:
-                    there = ids[starts + k]
+                    there = (plain if k == 0 else ids)[starts + k]
                     h += (self.name - there) * self.powers[k]
                     left -= there == 0
                 at = np.flatnonzero(left == 0)
@@ -166,19 +168,19 @@ class Index:
             group, size = [], 0
 
             def flush() -> None:
-                ids = np.concatenate([g[2] for g in group])
+                plain, ids = np.concatenate([g[2] for g in group]), np.concatenate([g[4] for g in group])
                 ends = np.cumsum([len(g[2]) for g in group])
                 firsts = ends - [len(g[2]) for g in group]
                 starts = np.concatenate([np.arange(a, b - self.span + 1) for a, b in zip(firsts, ends, strict=True)])
                 capitals: dict[int, list[bool]] = {}
-                for at, h, free in self._matches(ids, starts):
+                for at, h, free in self._matches(plain, ids, starts):
                     n = int(np.searchsorted(ends, at, side="right"))
-                    key, text, _, tokens = group[n]
+                    key, text, _, tokens, _ = group[n]
                     first = at - int(firsts[n])
                     window = tokens[first : first + self.span]
                     # A word that any item, of this block or not, uses as no name is one where the document writes it with a capital.
                     for k in free:
-                        if window[k].isdigit() or window[k] in NUMBERS or window[k] in UNITS:
+                        if _number(window[k]) or (k and ids[at + k] == self.unit):
                             break
                         if window[k] in self.ordinary:
                             if n not in capitals:
@@ -195,11 +197,10 @@ class Index:
                 if len(tokens) < self.span:
                     continue
                 ids = _word_ids(tokens, self.vocabulary)
-                if self.number:
-                    for i, w in enumerate(tokens):
-                        if not ids[i] and w.isdigit():
-                            ids[i] = self.number
-                group.append((key, text, ids, tokens))
+                for i in np.flatnonzero(ids == 0).tolist():
+                    if tokens[i].isdigit():
+                        ids[i] = self.number
+                group.append((key, text, ids, tokens, _counted(ids, self.number, self.unit)))
                 size += len(tokens)
                 if size > 100_000:
                     flush()
@@ -209,12 +210,14 @@ class Index:
             yield pd.DataFrame({"_key": pd.Series(keys, dtype=batch["_key"].dtype if batch["_key"].dtype.kind == "i" else "object"), "_hash": pd.Series(hashes, dtype="int64"), "_doc_words": pd.Series(found, dtype="object")})
 
 
-def leaked_windows(documents: DataFrame, doc: Column, text: Column, items: DataFrame, item: Column, item_text: Column, span: int = 10, block: int = 2000) -> DataFrame:
+def leaked_windows(documents: DataFrame, doc: Column, text: Column, items: DataFrame, item: Column, item_text: Column, span: int = 10, block: int = 200_000) -> DataFrame:
     """``doc_id, item_id, verbatim, pairs``: one row per document, item and matching template window of ``span`` words.
 
     ``verbatim`` tells that all words agree; otherwise ``pairs`` lists the slots that differ as item word, document word. Null and
-    short texts match nothing; repeated documents repeat their rows; texts are read whole. Items are indexed in blocks of
-    ``block`` rows, so what travels to the tasks is bounded; documents are scanned once per block (a benchmark of 300 is one).
+    short texts match nothing; repeated documents repeat their rows; texts are read whole. Items are indexed in blocks of about
+    ``block`` words, so what travels to the tasks is bounded by words, a few dozen megabytes, or one item if that is longer; documents are
+    scanned once per block (a benchmark of 300 items is one). What matches does not depend on the blocks. Filtering documents by the
+    hashes of the few items where they lie moves nothing but hits; a shuffle of all windows of the corpus would move ten times its size.
     """
     spark = documents.sparkSession
     docs = documents.select(doc.alias("_key"), text.alias("_text")).where("_text is not null")
@@ -229,6 +232,7 @@ def leaked_windows(documents: DataFrame, doc: Column, text: Column, items: DataF
     ordinary -= names
     out = None
     pending: list = []
+    held = 0
 
     def add(rows: list) -> None:
         nonlocal out
@@ -243,10 +247,12 @@ def leaked_windows(documents: DataFrame, doc: Column, text: Column, items: DataF
         out = found if out is None else out.unionByName(found)
 
     for row in stated.toLocalIterator():
-        pending.append(row)
-        if len(pending) == block:
+        size = len(words(row["text"]))
+        if pending and held + size > block:
             add(pending)
-            pending = []
+            pending, held = [], 0
+        pending.append(row)
+        held += size
     if pending:
         add(pending)
     if out is None:
