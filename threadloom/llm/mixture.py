@@ -7,7 +7,7 @@ running total of tokens of a source into positions in training, and documents ar
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,8 +17,6 @@ from threadloom.functions import ids
 from threadloom.operators.ranking import running_total
 from threadloom.workspace import Workspace, fits
 
-#: A vocabulary file of a public tokenizer; a parameter everywhere, never copied.
-TOKENIZER = os.environ.get("THREADLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 #: Tables of targets beyond this size are joined by a shuffle.
 TARGETS_BROADCAST_BYTES = 4 << 20
 
@@ -28,8 +26,8 @@ def source_name(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(ids.stripped(c)), r"[\s_\-]+", "_"), F.lit(""))
 
 
-def count_tokens(rows: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``rows`` with ``tokens`` in place of ``text``: tokens of the whole text, 0 for null. One pass, no shuffle."""
+def count_tokens(rows: DataFrame, text: str, tokenizer: str) -> DataFrame:
+    """``rows`` with ``tokens`` in place of ``text``: tokens of the whole text, 0 for null. One pass, no shuffle; equal texts of a batch are counted once."""
     names = [c for c in rows.columns if c != text]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -39,23 +37,25 @@ def count_tokens(rows: DataFrame, text: str, tokenizer: str = TOKENIZER) -> Data
         own = Tokenizer.from_file(tokenizer)
         own.encode_special_tokens = True
         for batch in batches:
-            texts = batch[text].fillna("").tolist()
+            codes, texts = pd.factorize(batch[text].fillna(""))
             counts: list[int] = []
             for i in range(0, len(texts), 256):
-                counts += [len(e.ids) for e in own.encode_batch(texts[i : i + 256], add_special_tokens=False)]
-            yield batch[names].assign(tokens=pd.Series(counts, index=batch.index, dtype="int64"))
+                # Without the places of tokens in the text, which nobody asks for.
+                counts += [len(e.ids) for e in own.encode_batch_fast(texts[i : i + 256].tolist(), add_special_tokens=False)]
+            yield batch[names].assign(tokens=pd.Series(counts, dtype="int64").to_numpy()[codes] if len(codes) else pd.Series([], dtype="int64"))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != text)
     return rows.mapInPandas(scan, f"{schema}, tokens long")
 
 
-def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, ramp: float = 0.5) -> DataFrame:
+def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, ramp: float = 0.5, slopes: Mapping[str, float] | None = None) -> DataFrame:
     """One row per target source: ``source, target, available, max_repeats, demand, slope``.
 
     ``target`` is the share among sources that have documents. With no ``total_tokens`` the total is the largest at which every such
     source meets its target within its repeats. A larger total makes sources short: those give all their uses and the others
     share the rest by weight. ``slope`` tilts the schedule ``w(t) = share * (1 + slope * (2t - 1))``: sources that must repeat
-    ramp up by ``ramp``, the others down, so that the weights add up to one at any time.
+    ramp up by ``ramp``, the others down, so that the weights add up to one at any time. ``slopes`` states the slopes of sources instead, from
+    -1 (falls to nothing) to 1 (starts from nothing); sources it does not name are level.
     """
     goal = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("max_repeats"))
     goal = goal.where("source is not null and share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("share").alias("share"), F.max("max_repeats").alias("max_repeats"))
@@ -82,7 +82,14 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     repeated = sum(d for s, d in demand.items() if d > live[s]["available"]) / real
     down = -min(1.0, ramp * repeated / (1 - repeated)) if repeated < 1 else 0.0
     up = -down * (1 - repeated) / repeated if repeated > 0 else 0.0
-    out = [(r["source"], r["share"] / weight if r["source"] in live else 0.0, int(r["available"]), int(r["max_repeats"]), demand.get(r["source"], 0.0), (up if demand.get(r["source"], 0.0) > r["available"] else down)) for r in rows]
+    def slope(source: str, available: int) -> float:
+        if slopes is not None:
+            return float(slopes.get(source, 0.0))
+        return up if demand.get(source, 0.0) > available else down
+
+    if slopes is not None and any(abs(v) > 1 for v in slopes.values()):
+        raise ValueError("slopes lie between -1 and 1")
+    out = [(r["source"], r["share"] / weight if r["source"] in live else 0.0, int(r["available"]), int(r["max_repeats"]), demand.get(r["source"], 0.0), slope(r["source"], r["available"])) for r in rows]
     return sized.sparkSession.createDataFrame(out, "source string, target double, available long, max_repeats int, demand double, slope double")
 
 
@@ -93,7 +100,7 @@ def position(done: Column, demand: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, y).otherwise((-b + F.sqrt(F.greatest(F.lit(0.0), b * b + 4 * slope * y))) / (2 * slope))
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: int | None = None, ramp: float = 0.5, seed: int = 42) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str, total_tokens: int | None = None, ramp: float = 0.5, seed: int = 42, slopes: Mapping[str, float] | None = None) -> DataFrame:
     """``doc_id, source, use, tokens, position``: every use of every document, range sorted by its position in training (0 to 1).
 
     Each source is passed over in the order of a hash, whole passes first, then a part that ends where its demand does (to half a
@@ -104,7 +111,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, to
     work = Workspace(documents.sparkSession, "mixture")
     rows = documents.select("doc_id", source_name(F.col("source")).alias("source"), "text").where("source is not null and text is not null")
     sized = work.save(count_tokens(rows, "text", tokenizer).where("tokens > 0"))
-    planned = plan(sized, targets, total_tokens, ramp).where("demand > 0")
+    planned = plan(sized, targets, total_tokens, ramp, slopes).where("demand > 0")
     if fits(planned, TARGETS_BROADCAST_BYTES):
         planned = F.broadcast(planned)
     known = sized.join(planned, "source")
@@ -118,7 +125,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, to
     return placed.select("doc_id", "source", "use", "tokens", "position").orderBy("position", "doc_id", "use")
 
 
-def mixed_shares(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, total_tokens: int | None = None) -> DataFrame:
+def mixed_shares(documents: DataFrame, targets: DataFrame, tokenizer: str, total_tokens: int | None = None) -> DataFrame:
     """``source, target_share, actual_share, tokens, documents, uses, most_uses`` per target source, those without documents too."""
     mixed = mix(documents, targets, tokenizer, total_tokens)
     per = mixed.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("uses"))

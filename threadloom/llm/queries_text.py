@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from threadloom.llm.residue import residue, without_residue
 from threadloom.sources.tables import table
 
 
+#: The vocabulary file of a public tokenizer that the queries count tokens with; a parameter of every operator.
+TOKENIZER = os.environ.get("THREADLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_windows(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"), table(spark, folder, "benchmark"), F.col("item_id"), F.col("text"))
 
@@ -49,12 +55,12 @@ def p5_redacted_examples(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """Training positions of the mixed documents: every use of every document."""
-    return mix(table(spark, folder, "documents"), table(spark, folder, "mixture_targets"))
+    return mix(table(spark, folder, "documents"), table(spark, folder, "mixture_targets"), TOKENIZER)
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of tokens of every source."""
-    return mixed_shares(table(spark, folder, "documents"), table(spark, folder, "mixture_targets"))
+    return mixed_shares(table(spark, folder, "documents"), table(spark, folder, "mixture_targets"), TOKENIZER)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
