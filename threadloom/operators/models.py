@@ -51,7 +51,7 @@ class IntentModel:
         label = F.create_map(*[F.lit(x) for i, k in enumerate(self.classes) for x in (k, float(i))])
         data = self._vectors(rows.select("id", "text"), weights).join(rows.select("id", label[F.col("intent")].alias("label")), "id")
         data = data.cache()
-        fit = LogisticRegression(regParam=1.0 / (self.c * n), elasticNetParam=0.0, standardization=False, family="multinomial", maxIter=self.rounds, tol=1e-6).fit(data)
+        fit = LogisticRegression(regParam=1.0 / (self.c * n), elasticNetParam=0.0, standardization=False, family="multinomial", maxIter=self.rounds, tol=1e-4).fit(data)
         data.unpersist()
         if fit.summary.totalIterations >= self.rounds:
             self.blocker = f"no convergence in {self.rounds} rounds"
