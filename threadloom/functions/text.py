@@ -128,5 +128,11 @@ def char_shingles(c: Column, size: int) -> Column:
 
 def feature_text(message: Column, context: Column | None = None) -> Column:
     """Context and message joined, redacted, without placeholders: what the text models read."""
-    whole = message if context is None else F.concat_ws(" ", context, message)
+    whole = message if context is None else F.trim(F.concat_ws(" ", context, message))
     return F.regexp_replace(redacted(whole), r"\[[A-Z_]+\]", " ")
+
+
+def dense_text(message: Column, context: Column) -> Column:
+    """As :func:`feature_text`, but the message first: an encoder that cuts long texts loses old context, never the message."""
+    none = F.lit("")
+    return F.concat(feature_text(F.coalesce(message, none)), F.lit(" "), feature_text(F.coalesce(F.array_join(context, " "), none)))

@@ -159,8 +159,8 @@ def examples(messages: DataFrame, members: DataFrame, support_author: str) -> Da
     """``customer, thread_id, context, replies, reasons`` of every inbound message that the support author answers directly or is said to answer.
 
     ``replies`` are the direct outbound answers of the support author by time; ``context`` the ancestors up to a missing message or
-    a repeat, by time, unreadable times last, then by record number. ``reasons`` tells why a message makes no example; empty for
-    examples.
+    a repeat, by time, unreadable times last, then by record number; ``turned`` tells that this is not the order of the answers.
+    ``reasons`` tells why a message makes no example; empty for examples.
     """
     work = Workspace(messages.sparkSession, "examples")
     inside = work.save(messages.join(members, "id").drop("flags"))
@@ -176,9 +176,9 @@ def examples(messages: DataFrame, members: DataFrame, support_author: str) -> Da
     per = rollup(messages, members, support_author).select("thread_id", (F.size("other_outbound_authors") > 0).alias("_others"), F.col("conflicting_duplicates").alias("_conflict"))
     per = per.join(cyclic, "thread_id", "left").join(cross.distinct().withColumn("_cross", F.lit(True)), "thread_id", "left")
     rows = inside.where("inbound").select("id", "thread_id", "text").join(replies, "id", "left").join(claimed, "id", "left").where("_r is not null or _claimed").join(per, "thread_id")
-    above = tree.select(F.col("node").alias("id"), F.explode(F.slice("path", 1, F.size("path") - 1)).alias("_up"))
-    above = above.join(rows.select("id"), "id", "left_semi").join(inside.select(F.col("id").alias("_up"), "moment", "source_record"), "_up")
-    above = above.groupBy(F.col("id").alias("_c")).agg(F.array_sort(F.collect_list(F.struct(F.col("moment").isNull().alias("a"), F.col("moment").alias("b"), F.col("source_record").alias("c"), F.col("_up").alias("id")))).alias("_ctx"))
+    above = tree.select(F.col("node").alias("id"), "path").join(rows.select("id"), "id", "left_semi").select("id", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("_place", "_up"))
+    above = above.join(inside.select(F.col("id").alias("_up"), "moment", "source_record"), "_up")
+    above = above.groupBy(F.col("id").alias("_c")).agg(F.array_sort(F.collect_list(F.struct(F.col("moment").isNull().alias("a"), F.col("moment").alias("b"), F.col("source_record").alias("c"), F.col("_up").alias("id"), F.col("_place").alias("place")))).alias("_ctx"))
     out = rows.join(above, F.col("id") == F.col("_c"), "left")
     reasons = F.array_sort(
         F.array_compact(
@@ -193,4 +193,6 @@ def examples(messages: DataFrame, members: DataFrame, support_author: str) -> Da
         )
     )
     names = lambda c: F.coalesce(F.transform(F.col(c), lambda x: x["id"]), F.array().cast("array<bigint>"))
-    return out.select(F.col("id").alias("customer"), "thread_id", names("_ctx").alias("context"), names("_r").alias("replies"), reasons.alias("reasons"))
+    # Every ancestor carries its depth, so the order of answers is at hand without the path.
+    causal = F.coalesce(F.transform(F.array_sort(F.transform(F.col("_ctx"), lambda x: F.struct(x["place"].alias("p"), x["id"].alias("id")))), lambda x: x["id"]), F.array().cast("array<bigint>"))
+    return out.select(F.col("id").alias("customer"), "thread_id", names("_ctx").alias("context"), names("_r").alias("replies"), reasons.alias("reasons"), (names("_ctx") != causal).alias("turned"))

@@ -22,20 +22,20 @@ def running_totals(df: DataFrame, group: str, order: Sequence[Column], values: M
     work = Workspace(df.sparkSession, "ranking")
     df = df.drop(*values)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    piece = temporary_name(df.columns, "_slice")
+    piece, in_group, in_piece = (temporary_name(df.columns, x) for x in ("_slice", "_group", "_piece"))
     own, amount, shift = ({v: temporary_name(df.columns, f"{x}{i}") for i, v in enumerate(values)} for x in ("_own", "_amount", "_shift"))
     keys = [temporary_name(df.columns, f"_o{i}") for i in range(len(order))]
     sliced = df.select("*", *[F.coalesce(c, F.lit(0)).alias(amount[v]) for v, c in values.items()], *[c.alias(k) for c, k in zip(order, keys, strict=True)])
     sliced = work.save(sliced.repartitionByRange(n, F.col(group), *[F.col(k) for k in keys]).withColumn(piece, F.spark_partition_id()))
-    sizes = sliced.groupBy(F.col(group).alias("_g"), F.col(piece).alias("_p")).agg(*[F.sum(amount[v]).alias(shift[v]) for v in values])
-    spread = Window.partitionBy("_g")
+    sizes = sliced.groupBy(F.col(group).alias(in_group), F.col(piece).alias(in_piece)).agg(*[F.sum(amount[v]).alias(shift[v]) for v in values])
+    spread = Window.partitionBy(in_group)
     # One row per group and slice; groups of one slice go before anything is broadcast.
     crossing = sizes.withColumn("_n", F.count("*").over(spread)).where("_n > 1")
-    shifts = work.save(crossing.select("_g", "_p", *[(F.sum(shift[v]).over(spread.orderBy("_p")) - F.col(shift[v])).alias(shift[v]) for v in values]))
+    shifts = work.save(crossing.select(in_group, in_piece, *[(F.sum(shift[v]).over(spread.orderBy(in_piece)) - F.col(shift[v])).alias(shift[v]) for v in values]))
     within = Window.partitionBy(piece, group).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
     summed = sliced.select("*", *[F.sum(amount[v]).over(within).alias(own[v]) for v in values])
     # The table of shifts has at most two rows per slice.
-    moved = summed.join(F.broadcast(shifts), F.col(group).eqNullSafe(F.col("_g")) & (F.col(piece) == F.col("_p")), "left")
+    moved = summed.join(F.broadcast(shifts), F.col(group).eqNullSafe(F.col(in_group)) & (F.col(piece) == F.col(in_piece)), "left")
     return moved.select(*[F.col(f"`{c}`") for c in df.columns], *[(F.col(own[v]) + F.coalesce(shift[v], F.lit(0))).alias(v) for v in values])
 
 

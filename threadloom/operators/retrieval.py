@@ -62,26 +62,38 @@ def unit(vector: Column) -> Column:
     return F.when(fine, F.transform(vector, lambda x: x.cast("double") / norm))
 
 
+def _packed(rows: DataFrame, key: str, block: int, prefix: str) -> DataFrame:
+    """Rows ``key, vector`` packed by ``block``: an array of keys and their vectors as one matrix of bytes."""
+    import numpy as np
+    import pandas as pd
+
+    def pack(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for at in range(0, len(batch), block):
+                part = batch.iloc[at : at + block]
+                yield pd.DataFrame({f"{prefix}_keys": [part[key].tolist()], f"{prefix}_matrix": [np.stack(part["vector"].to_numpy()).astype("<f8").tobytes()]})
+
+    return rows.select(key, "vector").mapInPandas(pack, f"{prefix}_keys array<{dict(rows.dtypes)[key]}>, {prefix}_matrix binary")
+
+
 def dense_topk(index: DataFrame, queries: DataFrame, k: int = 3, least: float = 0.2, block: int = 512) -> DataFrame:
     """``query_id, id, score, rank``: for each query ``query_id, vector`` the ``k`` rows ``id, vector`` of highest cosine, at least ``least``.
 
-    A stated query set against all rows, exact: queries travel to the tasks in blocks of ``block``, each batch of rows is one matrix
-    product per block, and every batch keeps its best ``k`` per query before the shuffle. A row is never its own hit.
+    A stated query set against all rows, exact and in blocks: both sides are packed into matrices, every pair of blocks is one matrix product,
+    and each keeps its best ``k`` per query before the shuffle. The planner broadcasts the blocks of queries only if they are small; nothing
+    passes through the driver. A row is never its own hit; vectors that are zero or not finite have no hits.
     """
     import numpy as np
     import pandas as pd
 
-    asked = [(r["query_id"], r["vector"]) for r in queries.select("query_id", unit(F.col("vector")).alias("vector")).where("vector is not null").toLocalIterator()]
-    out = None
-    rows = index.select("id", unit(F.col("vector")).alias("vector")).where("vector is not null")
-    for at in range(0, len(asked), block):
-        names = np.array([a for a, _ in asked[at : at + block]])
-        matrix = np.array([v for _, v in asked[at : at + block]])
-
-        def scan(batches, names=names, matrix=matrix):  # noqa: ANN001, ANN202
-            for batch in batches:
-                own = batch["id"].to_numpy()
-                scores = np.stack(batch["vector"].to_numpy()) @ matrix.T
+    rows = _packed(index.select("id", unit(F.col("vector")).alias("vector")).where("vector is not null"), "id", 2048, "r")
+    asked = _packed(queries.select("query_id", unit(F.col("vector")).alias("vector")).where("vector is not null"), "query_id", block, "q")
+
+    def scan(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for own, left, names, right in zip(batch["r_keys"], batch["r_matrix"], batch["q_keys"], batch["q_matrix"], strict=True):
+                own, names = np.asarray(own), np.asarray(names)
+                scores = np.frombuffer(left, dtype="<f8").reshape(len(own), -1) @ np.frombuffer(right, dtype="<f8").reshape(len(names), -1).T
                 scores[own[:, None] == names[None, :]] = -2.0
                 kept = min(k, len(own))
                 # Ties at the edge are kept whole, so the rank below decides them by id.
@@ -89,11 +101,8 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int = 3, least: float =
                 i, j = np.nonzero((scores >= edge) & (scores >= least))
                 yield pd.DataFrame({"query_id": names[j], "id": own[i], "score": scores[i, j]})
 
-        found = rows.mapInPandas(scan, f"query_id {dict(queries.dtypes)['query_id']}, id {dict(index.dtypes)['id']}, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = rows.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
-    return _top(out, k)
+    found = rows.crossJoin(asked).mapInPandas(scan, f"query_id {dict(queries.dtypes)['query_id']}, id {dict(index.dtypes)['id']}, score double")
+    return _top(found, k)
 
 
 def _top(scores: DataFrame, k: int) -> DataFrame:

@@ -27,25 +27,28 @@ def shingle_frequency(texts: DataFrame, size: int, min_chars: int) -> DataFrame:
 
 
 def rare_shingles(texts: DataFrame, size: int, min_chars: int, keys: int, max_block: int) -> DataFrame:
-    """``representative, form, shingle, df``: the ``keys`` rarest shingles of every text that 2 to ``max_block`` texts share."""
-    rows = texts.where(F.length("form") >= min_chars).select("representative", "form", F.explode(char_shingles(F.col("form"), size)).alias("shingle"))
+    """``representative, shingle, df``: the ``keys`` rarest shingles of every text that 2 to ``max_block`` texts share. No text travels with them."""
+    rows = texts.where(F.length("form") >= min_chars).select("representative", F.explode(char_shingles(F.col("form"), size)).alias("shingle"))
     df = rows.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df").between(2, max_block))
     rank = F.row_number().over(Window.partitionBy("representative").orderBy("df", "shingle"))
-    return rows.join(df, "shingle").withColumn("_rank", rank).where(F.col("_rank") <= keys).select("representative", "form", "shingle", "df")
+    return rows.join(df, "shingle").withColumn("_rank", rank).where(F.col("_rank") <= keys).select("representative", "shingle", "df")
 
 
 def candidates(texts: DataFrame, size: int = 4, min_chars: int = 24, keys: int = 4, max_block: int = 100, threshold: float = 0.92) -> DataFrame:
     """``left_id, right_id, left_form, right_form``: pairs of texts that share a rare shingle and whose lengths are near enough.
 
     Pairs of a block number at most ``max_block`` squared halves, by the frequency band, which loses pairs that share common shingles only.
-    :func:`near_pairs` finds all near pairs, without a band.
+    :func:`near_pairs` finds all near pairs, without a band. Pairs of ids are made distinct before texts join them.
     """
-    rare = rare_shingles(texts, size, min_chars, keys, max_block)
-    a = rare.select("shingle", F.col("representative").alias("left_id"), F.col("form").alias("left_form"))
-    b = rare.select("shingle", F.col("representative").alias("right_id"), F.col("form").alias("right_form"))
-    pairs = a.join(b, "shingle").where("left_form < right_form").select("left_id", "right_id", "left_form", "right_form").distinct()
-    short, long = F.least(F.length("left_form"), F.length("right_form")), F.greatest(F.length("left_form"), F.length("right_form"))
-    return pairs.where(short >= threshold * long)
+    rare = rare_shingles(texts, size, min_chars, keys, max_block).select("representative", "shingle")
+    a, b = rare.withColumnRenamed("representative", "_a"), rare.withColumnRenamed("representative", "_b")
+    pairs = a.join(b, "shingle").where("_a < _b").select("_a", "_b").distinct()
+    x, y = (texts.select(F.col("representative").alias(k), F.col("form").alias(f"{k}_form")) for k in ("_a", "_b"))
+    both = pairs.join(x, "_a").join(y, "_b")
+    short, long = F.least(F.length("_a_form"), F.length("_b_form")), F.greatest(F.length("_a_form"), F.length("_b_form"))
+    first = F.col("_a_form") < F.col("_b_form")
+    pick = lambda p, q, n: F.when(first, F.col(p)).otherwise(F.col(q)).alias(n)
+    return both.where(short >= threshold * long).select(pick("_a", "_b", "left_id"), pick("_b", "_a", "right_id"), pick("_a_form", "_b_form", "left_form"), pick("_b_form", "_a_form", "right_form"))
 
 
 def _letters(forms: list[str], classes: int = 64, most: int = 24) -> tuple[np.ndarray, np.ndarray]:
@@ -158,15 +161,18 @@ def jaccard_pairs(df: DataFrame, record: Column, text: Column, threshold: float
     Records with the same set of shingles form a class, named by its smallest record; ``membership`` is ``record_id, class_id``.
     Pairs come from prefix filtering: with shingles ordered from rare to common, two sets of similarity ``t`` share one of
     their first ``n - ceil(t n) + 1`` shingles, so common shingles meet only where no rarer one can. No pair is lost and no
-    bucket is capped. Texts of fewer words than a shingle have no partners.
+    bucket is capped. Every record has a class: texts of fewer words than a shingle, null and empty ones too, share one with texts of the same
+    words, and have no partners beyond it.
     """
     work = Workspace(df.sparkSession, "jaccard")
-    rows = df.where(text.isNotNull()).select(record.alias("record_id"), word_shingles(text, words).alias("s")).where("size(s) > 0")
-    keyed = rows.select("record_id", F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256).alias("_k"), "s")
+    # A text of fewer words has no shingles: its words themselves are its key, so equal short texts are one class.
+    few = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1), " ")
+    rows = df.select(record.alias("record_id"), F.coalesce(word_shingles(text, words), F.array().cast("array<bigint>")).alias("s"), few.alias("_few"))
+    keyed = rows.select("record_id", F.sha2(F.when(F.size("s") > 0, F.array_join(F.col("s").cast("array<string>"), ",")).otherwise(F.concat(F.lit("few:"), "_few")), 256).alias("_k"), "s")
     keyed = work.save(keyed)
     classes = keyed.groupBy("_k").agg(F.min_by("s", "record_id").alias("s"), F.min("record_id").alias("class_id"))
     membership = keyed.select("record_id", "_k").join(classes.select("_k", "class_id"), "_k").select("record_id", "class_id")
-    sets = work.save(classes.select("class_id", "s", F.size("s").alias("n")))
+    sets = work.save(classes.where("size(s) > 0").select("class_id", "s", F.size("s").alias("n")))
     exploded = sets.select("class_id", "n", F.explode("s").alias("h"))
     frequency = exploded.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # A shingle of one class only can match nothing, but it still takes a place in the prefix: it is the rarest.

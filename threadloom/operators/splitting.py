@@ -20,8 +20,9 @@ def cutoffs(rows: DataFrame, train: float, development: float) -> DataFrame:
     ``min(n - 1, max(first + 1, floor(n (train + development))))``. Ends are ranked over range slices, not in one task. Fewer than
     three usable records give nulls, and every group is then quarantined.
     """
-    usable = rows.where("start is not null and end is not null").select(F.lit(1).alias("all"), "end")
-    ranked = rank_within(usable, "all", [F.col("end")], "rank")
+    usable = rows.where("start is not null and end is not null").select(F.lit(1).alias("all"), "end", F.xxhash64("record_id", "start").alias("_tie"))
+    # The tie only spreads one repeated time over slices; the element at a rank is the same whatever its order.
+    ranked = rank_within(usable, "all", [F.col("end"), F.col("_tie")], "rank")
     n = usable.agg(F.count("*").alias("n"))
     first = F.least(F.col("n") - 2, F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(train)))).alias("i1")
     places = n.select("n", first)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threadloom.plans import checks, pipeline, problems
+from threadloom.plans import checks, pipeline, problems, texts
 
-QUERIES = {**pipeline.QUERIES, **checks.QUERIES, **problems.QUERIES}
-SQL = {**pipeline.SQL, **checks.SQL, **problems.SQL}
+QUERIES = {**pipeline.QUERIES, **checks.QUERIES, **texts.QUERIES, **problems.QUERIES}
+SQL = {**pipeline.SQL, **checks.SQL, **texts.SQL, **problems.SQL}

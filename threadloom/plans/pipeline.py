@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from threadloom.functions import hashing, ids, text
 from threadloom.operators import extraction, labels, retrieval, sampling, similarity, splitting
 from threadloom.operators.graph import connected_components, hierarchy
+from threadloom.operators.ranking import rank_within
 from threadloom.plans.problems import sql_id
 from threadloom.sources.tables import table
 from threadloom.workspace import Workspace
@@ -357,6 +358,8 @@ def near_pairs(spark: SparkSession, folder: str) -> DataFrame:
 _SETS = r"""words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5)),
 cls AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS k, count(*) AS n FROM sh GROUP BY doc_id),
+few AS (SELECT doc_id, 'few:' || array_to_string(coalesce(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), []), ' ') AS k FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM cls)),
+every AS (SELECT doc_id, k FROM cls UNION ALL SELECT doc_id, k FROM few),
 reps AS (SELECT k, min(doc_id) AS class_id, any_value(n) AS n FROM cls GROUP BY k)"""
 
 
@@ -369,7 +372,7 @@ def near_documents(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"WITH {_SETS} SELECT doc_id AS record_id, class_id FROM cls JOIN reps USING (k)")
+@query(f"WITH {_SETS} SELECT doc_id AS record_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM every")
 def document_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the smallest document of the same shingles."""
     return similarity.jaccard_pairs(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))[1]
@@ -663,9 +666,8 @@ _LOG = "log AS (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY u
 SELECT user_id, event_id, CASE WHEN done = 1 THEN 'after_success' ELSE 'not_contiguous' END AS violation FROM seen WHERE done = 1 OR attempt <> n""")
 def attempt_violations(spark: SparkSession, folder: str) -> DataFrame:
     """Attempts out of sequence, and anything after a success, in a log made of the events."""
-    rows = table(spark, folder, "events")
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    log = rows.select("user_id", "event_id", "event_type", (n + (F.col("event_id") % 97 == 0).cast("int")).alias("attempt"))
+    rows = rank_within(table(spark, folder, "events"), "user_id", [F.col("event_id")], "n")
+    log = rows.select("user_id", "event_id", "event_type", (F.col("n") + (F.col("event_id") % 97 == 0).cast("int")).alias("attempt"))
     return labels.attempt_violations(log, "user_id", "attempt", F.col("event_type") == "purchase", "event_id")
 
 
@@ -691,8 +693,9 @@ _JUDGED = """judged AS (SELECT event_id, event_type AS truth, lag(event_type) OV
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions of a key's class from its event before, beside the true class."""
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = table(spark, folder, "events").select("event_id", F.col("event_type").alias("truth"), before.alias("predicted"))
+    rows = Workspace(spark, "judged").save(rank_within(table(spark, folder, "events").select("user_id", "event_id", "event_type"), "user_id", [F.col("event_id")], "n"))
+    before = rows.select("user_id", (F.col("n") + 1).alias("n"), F.col("event_type").alias("predicted"))
+    rows = rows.join(before, ["user_id", "n"], "left").select("event_id", F.col("event_type").alias("truth"), "predicted")
     return rows.withColumn("should", F.when(F.col("event_id") % 5 < 4, F.col("truth") == "error")).withColumn("proposed", F.col("predicted").isin("error", "purchase"))
 
 

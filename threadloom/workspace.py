@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_scopes: list[list[Workspace]] = []
+
+
 class Workspace:
     """A folder of written intermediate tables for one call of an operator.
 
     ``save`` writes and reads back; ``drop`` deletes tables that no later plan reads. What is left, at most the tables behind
-    the returned DataFrame, goes when the Python process ends.
+    the returned DataFrame, goes when the :func:`scope` it was made in or the Python process ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -38,6 +43,8 @@ class Workspace:
         self.root = f"{shared_folder(spark)}/threadloom/{name}-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self.clear)
+        if _scopes:
+            _scopes[-1].append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         """``df`` as written and read back."""
@@ -79,10 +86,26 @@ class Workspace:
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A written table is estimated by its compressed size; in memory it may be this many times larger.
+COMPRESSION = 8
+
+
 def fits(df: DataFrame, limit_bytes: int) -> bool:
-    """Whether the planner's size estimate of ``df`` is within a limit: the check before any broadcast."""
+    """Whether ``df`` is within a limit in memory, by the planner's size estimate times :data:`COMPRESSION`: the check before any broadcast."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit_bytes
+    return int(str(size)) * COMPRESSION <= limit_bytes
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes, when the block ends, all intermediate tables of operators called in it; what they returned must be written or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for work in _scopes.pop():
+            work.clear()
+            atexit.unregister(work.clear)
 
 
 def temporary_name(taken: list[str], wanted: str) -> str:
