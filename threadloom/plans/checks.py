@@ -246,14 +246,14 @@ def revisions(spark: SparkSession, folder: str) -> DataFrame:
 # -- ledger --------------------------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH r AS (SELECT event_id, event_type AS m, epoch_us(ts) / 1e6 AS t, CAST(floor(value) AS BIGINT) AS a FROM events),
+@query("""WITH r AS (SELECT event_id, event_type AS m, (epoch_us(ts) // 1000) / 1000.0 AS t, CAST(floor(value) AS BIGINT) AS a FROM events),
 w AS (SELECT x.event_id, x.t AS now, x.a AS cost, y.t, y.event_id AS other, sum(y.a) OVER (PARTITION BY x.event_id ORDER BY y.t DESC, y.event_id DESC) AS later, count(*) OVER (PARTITION BY x.event_id ORDER BY y.t DESC, y.event_id DESC) AS places
   FROM r x JOIN r y ON y.m = x.m AND y.t <= x.t AND y.t > x.t - 60),
 out_ AS (SELECT event_id, max(t) FILTER (WHERE later + cost > 40 OR places + 1 > 3) + 60.1 AS free, max(t) AS latest, any_value(now) AS now FROM w GROUP BY 1)
 SELECT r.event_id AS request, CASE WHEN r.a <= 40 THEN round(greatest(0, coalesce(free - o.now, 0), o.latest + (60.0 / 3 + 0.1) - o.now), 3) END AS wait, CASE WHEN r.a > 40 THEN 'single request above a ceiling' END AS pause FROM r JOIN out_ o USING (event_id)""")
 def ledger_waits(spark: SparkSession, folder: str) -> DataFrame:
     """How long each event would have to wait for its budget if all events before it were reservations."""
-    rows = table(spark, folder, "events").select("event_id", F.col("event_type").alias("model"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.floor("value").alias("a"))
+    rows = table(spark, folder, "events").select("event_id", F.col("event_type").alias("model"), (F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000) / 1000).alias("t"), F.floor("value").alias("a"))
     asked = rows.select(F.col("event_id").alias("request"), "model", F.col("t").alias("now"), F.col("a").alias("input_tokens"), F.lit(0).alias("output_tokens"))
     none = F.from_json(F.lit("null"), "limit_tokens bigint, limit_requests bigint, remaining_requests bigint, remaining_tokens bigint, reset_requests_seconds double, reset_tokens_seconds double")
     book = rows.select("model", F.lit("reservation").alias("kind"), F.col("t").alias("time"), F.col("a").alias("input_tokens"), F.lit(0).alias("output_tokens"), F.lit(None).cast("string").alias("limit_category"), none.alias("headers"))
