@@ -1,4 +1,7 @@
-"""Texts that no model was trained on: other wordings, names and carriers than those of the seeds. Not to be looked at when seeds change."""
+"""Texts that no model was trained on: other wordings, names and carriers than those of the seeds.
+
+The seeds were widened with an eye on the results of these; only those called later were written after the seeds were last changed.
+"""
 
 PAGES = [
     "Error 502: the gateway got no usable reply", "We could not open that page. Return to the start page.", "Not allowed: your account lacks the rights for this folder", "Please activate JavaScript so that the shop can load", "Leider existiert diese Adresse nicht mehr.", "Servicio interrumpido por mantenimiento, vuelva en una hora",
@@ -45,3 +48,10 @@ PERSONAL = [
     ("The Marble Ravens play in Galway tonight", set()), ("ticket 5521-8834 is still open", set()), ("version 12.4.880 crashed again", set()), ("we paid 14.99 on 03/11/2021 at 18:45", set()), ("trains from Utrecht to Ghent are late", set()), ("thanks @StoreDesk, that helped", set()), ("serial no. QX5550123 is printed below", set()), ("The Salted Harbours released Rainy Window", set()),
     ("order 77120045 has not come", set()), ("error 0x80070057 at start", set()), ("Hello team, please restart the list", set()), ("signed off /MB", set()), ("We moved to Antwerp last spring", set()), ("[EMAIL] and [PHONE] were removed", set()), ("1 200 000 plays in a week", set()), ("the album 9 Harbour Street by The Lanes", set()), ("Dear customer, the refund was sent", set()), ("happy new year to all of you", set()),
 ]
+
+LATER_PERSONAL = [
+    ("Cordelia Ashworth is the subscriber", {"person_name"}), ("bonjour, ici Théodore Vasseur", {"person_name"}), ("could you move this to Ngozi's profile", {"person_name"}), ("Best, Ferdinand", {"person_name"}), ("the invoice went to Mr Lindqvist by mistake", {"person_name"}), ("Hey Marisol, any luck?", {"person_name"}),
+    ("drop me a line: hazel_oak@brook.example", {"email"}), ("new address is sam.tern@shore.example.org from now on", {"email"}), ("perry [at] hilltop [dot] example", {"email"}), ("my landline is 01632 960 415", {"phone"}), ("text me back at +1 646 555 0133", {"phone"}), ("Mobil: 0160 99887766", {"phone"}),
+    ("identity card AX4471902", {"id_number"}), ("my SSN ends up as 219-09-9999", {"id_number"}), ("Personalausweis L01X00T47", {"id_number"}), ("I am staying at 19 Fernhill Crescent", {"address"}), ("Lieferadresse: Birkenallee 4, 01069 Dresden", {"address"}), ("postbus: PO Box 81, Lowden", {"address"}),
+    ("parcel 8820-4471 is late", set()), ("Golden Ladders cancelled the show in Tampere", set()), ("my bill of 23.50 arrived on 2 May", set()), ("Good evening everyone", set()), ("it happens on Windows 11 and Android 14", set()), ("the queue froze at 3:45", set()), ("Thanks for the quick help", set()), ("track 7 of Winter Bridges", set()),
+]

@@ -172,6 +172,13 @@ def test_personal_data_of_other_people():
         assert hit >= 0.85 * sum(kind in t for _, t in data) and hit >= 0.9 * sum(kind in f for f in found), kind
 
 
+def test_personal_data_in_texts_written_later():
+    data = held_out_texts.LATER_PERSONAL
+    found = [{k for _, _, k in m} for m in pii.find(pii.trained(), [t for t, _ in data])]
+    hit = sum(len(f & t) for f, (_, t) in zip(found, data, strict=True))
+    assert hit >= 0.8 * sum(len(t) for _, t in data) and hit >= 0.9 * sum(len(f) for f in found)
+
+
 def test_a_name_like_a_street_is_kept_without_a_number():
     labels = lambda text, words: np.array([0] * (len(pii.tokens_of(text)) - words) + [9] + [10] * (words - 1))
     assert pii.KINDS[4] == "person_name"
