@@ -73,6 +73,19 @@ def test_near_pairs_of_common_shingles(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def _planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rare_shingles_broadcast_no_exploded_rows(spark, tmp_path):
+    """A written table of a few kilobytes has any number of shingles: the planner must not take its size for theirs."""
+    rows = [(f"e{i}", f"some words that are shared, and {i * 7919} of their own") for i in range(50)]
+    spark.createDataFrame(rows, "representative string, form string").write.parquet(str(tmp_path / "t"))
+    got = similarity.rare_shingles(spark.read.parquet(str(tmp_path / "t")), 4, 24, 4, 100)
+    assert "Broadcast" not in _planned(got)
+    assert {x.representative for x in got.collect()} == {r for r, _ in rows} and max(x.df for x in got.collect()) <= 100
+
+
 def test_chronological_split(spark):
     day = lambda d: dt.datetime(2017, 10, d)
     minute = dt.timedelta(minutes=1)
