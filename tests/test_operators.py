@@ -148,6 +148,19 @@ def test_tfidf_and_lexical(spark):
     assert [len(t) for t in spark.createDataFrame([("a bc de fg",), ("",)], "t string").select(retrieval.terms(F.col("t"), 3)).toPandas().iloc[:, 0]] == [6, 0]
 
 
+def test_weights_broadcast_a_small_vocabulary_only(spark, tmp_path, monkeypatch):
+    """Exploded terms are never broadcast, whatever the planner takes their size for; the vocabulary only within its bound."""
+    spark.createDataFrame([(i, f"some shared words and {i} with {i * 7919} of its own") for i in range(50)], "id long, text string").write.parquet(str(tmp_path / "t"))
+    corpus = spark.read.parquet(str(tmp_path / "t"))
+    _, small = retrieval.fit(corpus)
+    assert "BuildLeft" not in _planned(small) and "BuildRight" in _planned(small)
+    monkeypatch.setattr(retrieval, "IDF_BROADCAST_BYTES", 0)
+    _, large = retrieval.fit(corpus)
+    assert "Broadcast" not in _planned(large)
+    a, b = ({(x.id, x.term): x.weight for x in w.collect()} for w in (small, large))
+    assert set(a) == set(b) and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
 def test_dense(spark):
     r = random.Random(2)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(70, [0.0] * 8), (71, None)]
