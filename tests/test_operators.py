@@ -161,6 +161,17 @@ def test_weights_broadcast_a_small_vocabulary_only(spark, tmp_path, monkeypatch)
     assert set(a) == set(b) and all(a[k] == pytest.approx(b[k]) for k in a)
 
 
+def test_lexical_search_broadcasts_no_exploded_terms(spark, tmp_path):
+    spark.createDataFrame([(i, f"some shared words and {i} with {i * 7919} of its own", f"g{i % 3}") for i in range(50)], "id long, text string, group_id string").write.parquet(str(tmp_path / "t"))
+    corpus = spark.read.parquet(str(tmp_path / "t"))
+    idf, w = retrieval.fit(corpus.select("id", "text"))
+    q = corpus.where("id % 10 = 0").select(F.col("id").alias("query_id"), "text", "group_id")
+    out = retrieval.lexical_topk(w.join(corpus.select("id", "group_id"), "id"), q, idf, 3)
+    # Left sides are exploded terms; what is broadcast, on the right, is the vocabulary and one row per document.
+    assert "BuildLeft" not in _planned(out)
+    assert {(x.query_id, x["rank"]) for x in out.collect()} == {(i, k) for i in range(0, 50, 10) for k in (1, 2, 3)}
+
+
 def test_dense(spark):
     r = random.Random(2)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(70, [0.0] * 8), (71, None)]
