@@ -65,6 +65,41 @@ def test_waits_equal_dropping_the_oldest_one_by_one(spark):
         assert got[i][0] == pytest.approx(want, abs=1e-5), (i, rows[i])
 
 
+def test_waits_in_a_crowded_ledger_join_no_pairs(spark):
+    """Thousands of reservations within one minute and negative ones: right, without a join by time; only negative tokens are joined by the minute."""
+    import random
+    from unittest import mock
+
+    from threadloom.operators import ledger as module
+
+    r = random.Random(4)
+    book = [made(100 + r.random() * 50, r.randint(0, 3), r.randint(0, 3)) for _ in range(3000)]
+    budget = Budget(requests_per_minute=2500, tokens_per_minute=8000, output_tokens_per_minute=3000)
+    rows = [(90 + 3 * i, r.randint(0, 50), r.randint(0, 50)) for i in range(60)] + [(None, 1, 1), (100, 1, 1), (100, 1, 1)]
+    df = spark.createDataFrame([(i, "m", None if t is None else float(t), a, b) for i, (t, a, b) in enumerate(rows)], "request int, model string, now double, input_tokens long, output_tokens long")
+
+    def check(book, forbidden):
+        with mock.patch.object(module, "_within", side_effect=AssertionError if forbidden else module._within):
+            got = {x.request: x.wait for x in waits(df, spark.createDataFrame(book, LEDGER), budget).collect()}
+        assert len(got) == len(rows)
+        for i, (now, a, b) in enumerate(rows):
+            minute = sorted((x for x in book if now is not None and now - 60 < x[2] <= now), key=lambda x: x[2])
+            want = 0.0
+            for cost, cap, f in ((1, 2500, lambda x: 1), (a + b, 8000, lambda x: x[3] + x[4]), (b, 3000, lambda x: x[4])):
+                later = 0
+                for x in reversed(minute):
+                    later += f(x)
+                    if later + cost > cap:
+                        want = max(want, x[2] + 60.1 - now)
+                        break
+            day = [x[2] for x in book if now is not None and now - 86400 < x[2] <= now]
+            want = max([want] + [t + 60 / 2500 + 0.1 - now for t in day])
+            assert got[i] == pytest.approx(want, abs=1e-5), (i, rows[i])
+
+    check(book, True)
+    check(book + [made(100 + r.random() * 50, -r.randint(0, 9), 2) for _ in range(300)], False)
+
+
 def test_expressions(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     values = ["2m59.56s", "12.5s", "1d2h", "300ms", "NaN", "", None, "5 s"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.operators.ranking import running_totals
-from threadloom.workspace import Workspace
+from threadloom.workspace import Workspace, scope
 
 #: Reservations leave the rolling minute this many seconds after they were made.
 RELEASE = 60.1
@@ -43,42 +43,62 @@ def waits(asked: DataFrame, ledger: DataFrame, budget: Budget) -> DataFrame:
     input_tokens, output_tokens, limit_category, headers (as of :func:`threadloom.functions.transport.quota_headers`)``.
 
     The oldest reservations of the minute are dropped until the request fits, and the last one dropped leaves after 60.1 seconds: a
-    reservation must leave exactly if it and all later ones of the minute leave no room. So the wait is a maximum over rows, taken
-    by aggregates, and no window is ever gathered. A server limit lowers a ceiling and never raises one; failed requests keep their
-    reservation. Requests with equal ``request`` count as one. Nulls: tokens read as 0.
+    reservation must leave exactly if it and all later ones of the minute leave no room, that is, if what was reserved before it is less than all
+    so far plus the request less the ceiling. Requests are placed among the reservations twice, by time and by what was reserved before, and
+    running totals and maxima over range slices tell the rest, so no request is joined with the reservations of its minute or day. Only models
+    with negative tokens, whose totals do not rise, are joined by the minute. A server limit lowers a ceiling and never raises one; failed
+    requests keep their reservation. Nulls: tokens read as 0; without a model or a time nothing is before a request.
     """
+    work = Workspace(asked.sparkSession, "ledger")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
-    asked = asked.select("request", "model", F.col("now").cast("double").alias("now"), zero("input_tokens").alias("_in"), zero("output_tokens").alias("_out"))
-    made = ledger.where("kind = 'reservation'").select("model", F.col("time").cast("double").alias("time"), zero("input_tokens").alias("r_in"), zero("output_tokens").alias("r_out"))
-    said = ledger.where("kind = 'response'").select("model", F.col("time").cast("double").alias("time"), "limit_category", "headers")
-    # What the server said last, and the last headers, before each request.
-    before = asked.select("request", "model", "now").join(said, "model").where("time <= now").groupBy("request").agg(
-        F.max_by("limit_category", "time").alias("_category"), F.max_by(F.struct("headers", "time"), F.when(F.col("headers").isNotNull(), F.col("time"))).alias("_last")
-    )
-    rows = asked.join(before, "request", "left")
+    rows = work.save(asked.select("request", "model", F.col("now").cast("double").alias("now"), zero("input_tokens").alias("_in"), zero("output_tokens").alias("_out"), F.monotonically_increasing_id().alias("_q")))
+    book = ledger.withColumn("time", F.col("time").cast("double")).where("model is not null and time is not null")
+    made = book.where("kind = 'reservation'").select("model", "time", F.lit(0).alias("_kind"), zero("input_tokens").alias("r_in"), zero("output_tokens").alias("r_out"))
+    said = book.where("kind = 'response'").select("model", "time", F.lit(0).alias("_kind"), F.struct("time", "limit_category").alias("_s"), F.when(F.col("headers").isNotNull(), F.struct("time", "headers")).alias("_h"))
+    # A day back is looked up only if something limits the day.
+    daily = budget.requests_per_day is not None or budget.tokens_per_day is not None or not said.where("_h.headers.limit_requests is not null").isEmpty()
+    moments = [F.struct(F.col("now").alias("time"), F.lit(1).alias("_kind"))] + [F.struct((F.col("now") - DAY).alias("time"), F.lit(2).alias("_kind"))] * daily
+    probes = rows.where("model is not null and now is not null").select("model", "_q", F.inline(F.array(*moments)))
+    placed = made.unionByName(said, allowMissingColumns=True).unionByName(probes, allowMissingColumns=True)
+    sums = {"_c_n": F.col("r_in").isNotNull().cast("bigint"), "_c_in": F.col("r_in"), "_c_out": F.col("r_out")}
+    with scope():  # the slices go as soon as their totals are written
+        held = running_totals(placed, "model", [F.col("time"), F.col("_kind")], sums, largest={"_latest": F.when(F.col("r_in").isNotNull(), F.col("time")), "_said": F.col("_s"), "_last": F.col("_h")})
+        placed, seen = work.save_and_count(held.drop("_s", "_h"), negative=(F.col("r_in") < 0) | (F.col("r_out") < 0))
+    at = lambda kind, c, name: F.max(F.when(F.col("_kind") == kind, F.col(c))).alias(name)
+    known = placed.where("_kind > 0").groupBy("_q").agg(*[at(1, c, c) for c in [*sums, "_latest", "_said", "_last"]], *[at(2, c, f"_ago{c}") for c in sums])
+    rows = rows.join(known.withColumn("_category", F.col("_said.limit_category")).drop("_said"), "_q", "left")
     head = lambda f: F.col(f"_last.headers.{f}")
     rows = rows.withColumn("_tpm", F.least(F.lit(budget.tokens_per_minute), head("limit_tokens")))
     rows = rows.withColumn("_rpd", F.least(F.lit(budget.requests_per_day).cast("bigint"), head("limit_requests")))
-    dimensions: dict[str, tuple[Column, Column, Column]] = {
-        "requests": (F.lit(1), F.lit(1), F.lit(budget.requests_per_minute)),
-        "tokens": (F.col("r_in") + F.col("r_out"), F.col("_in") + F.col("_out"), F.col("_tpm")),
-        "input_tokens": (F.col("r_in"), F.col("_in"), F.lit(budget.input_tokens_per_minute).cast("bigint")),
-        "output_tokens": (F.col("r_out"), F.col("_out"), F.lit(budget.output_tokens_per_minute).cast("bigint")),
+    day = F.col("_c_n") - F.col("_ago_c_n")
+    rows = rows.withColumn("_n", F.when(day > 0, day)).withColumn("_t", F.when(day > 0, F.col("_c_in") + F.col("_c_out") - F.col("_ago_c_in") - F.col("_ago_c_out")))
+    rows = work.save(rows.withColumn("_latest", F.when(F.col("_latest") > F.col("now") - DAY, F.col("_latest"))))
+    dimensions: dict[str, tuple[Column, Column, Column, Column]] = {
+        "requests": (F.col("_c_n"), F.lit(1), F.lit(1), F.lit(budget.requests_per_minute)),
+        "tokens": (F.col("_c_in") + F.col("_c_out"), F.col("r_in") + F.col("r_out"), F.col("_in") + F.col("_out"), F.col("_tpm")),
+        "input_tokens": (F.col("_c_in"), F.col("r_in"), F.col("_in"), F.lit(budget.input_tokens_per_minute).cast("bigint")),
+        "output_tokens": (F.col("_c_out"), F.col("r_out"), F.col("_out"), F.lit(budget.output_tokens_per_minute).cast("bigint")),
     }
-    totals = {f"_c_{n}": x[0] for n, x in dimensions.items()}
-    minute = Workspace(asked.sparkSession, "ledger").save(_within(rows, running_totals(made, "model", [F.col("time")], totals), 60))
-    # What the reservations at least as late as one take up: all of the minute less those before it, by running totals.
-    span = minute.groupBy("request").agg(*[F.max(f"_c_{n}").alias(f"_last_{n}") for n in dimensions])
-    tight = minute.join(span, "request")
-    must = F.lit(False)
-    for n, (amount, cost, cap) in dimensions.items():
-        must = must | F.coalesce(F.col(f"_last_{n}") - F.col(f"_c_{n}") + amount + cost > cap, F.lit(False))
-    leaves = tight.where(must).groupBy("request").agg((F.max("time") + RELEASE).alias("_free"))
-    day = _within(rows.select("request", "model", "now"), made, DAY).groupBy("request").agg(F.count("*").alias("_n"), F.sum(F.col("r_in") + F.col("r_out")).alias("_t"), F.max("time").alias("_latest"))
-    rows = rows.join(leaves, "request", "left").join(day, "request", "left")
+    unset = {"input_tokens": budget.input_tokens_per_minute is None, "output_tokens": budget.output_tokens_per_minute is None}
+    # Per ceiling: what was reserved before a reservation, and what a reservation must have before it to be allowed to stay.
+    bound = [(n, total - amount, total + cost - cap) for n, (total, amount, cost, cap) in dimensions.items() if not unset.get(n)]
+    spots = placed.where("r_in is not null").select("model", "time", F.lit(1).alias("_kind"), F.inline(F.array(*[F.struct(F.lit(n).alias("_d"), before.alias("_v")) for n, before, _ in bound])))
+    limits = rows.where("_latest > now - 60").select("model", "_q", "now", F.lit(0).alias("_kind"), F.inline(F.array(*[F.struct(F.lit(n).alias("_d"), limit.alias("_v")) for n, _, limit in bound]))).where("_v is not null")
+    leaves = None
+    if seen["negative"]:
+        odd = work.save(placed.where("r_in < 0 or r_out < 0").select("model").distinct())
+        pairs = _within(limits.join(odd, "model", "left_semi").withColumnRenamed("_v", "_limit").drop("_kind"), spots.join(odd, "model", "left_semi").withColumnRenamed("_d", "_of"), 60)
+        leaves = pairs.where("_of = _d and _v < _limit").select("_q", "time")
+        spots, limits = spots.join(odd, "model", "left_anti"), limits.join(odd, "model", "left_anti")
+    both = spots.unionByName(limits, allowMissingColumns=True).withColumn("_of", F.concat("_d", F.lit(":"), "model")).drop("model", "_d")
+    with scope():
+        found = running_totals(both, "_of", [F.col("_v"), F.col("_kind")], {}, largest={"_at": F.col("time")}).where("_kind = 0 and _at > now - 60").select("_q", F.col("_at").alias("time"))
+        free = work.save((found if leaves is None else found.unionByName(leaves)).groupBy("_q").agg((F.max("time") + RELEASE).alias("_free")))
+    work.drop(placed)
+    rows = rows.join(free, "_q", "left")
     cost = F.col("_in") + F.col("_out")
     too_big = F.lit(False)
-    for _, c, cap in dimensions.values():
+    for _, _, c, cap in dimensions.values():
         too_big = too_big | F.coalesce(c > cap, F.lit(False))
     pause = F.when(F.col("_category").isin("daily", "billing", "quota_unavailable"), F.concat(F.lit("saved limit: "), F.col("_category")))
     pause = pause.when(F.coalesce(F.col("_n") >= F.col("_rpd"), F.lit(False)), "daily requests used up")
