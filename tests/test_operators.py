@@ -5,6 +5,7 @@ import math
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,66 @@ def test_lexical_search_broadcasts_no_exploded_terms(spark, tmp_path):
     assert {(x.query_id, x["rank"]) for x in out.collect()} == {(i, k) for i in range(0, 50, 10) for k in (1, 2, 3)}
 
 
+def test_lexical_search_shuffles_no_pairs_of_terms(spark, tmp_path):
+    """What is left to rank is the best of each task: no join of equal terms, few rows. Ids in several groups are summed over them."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice(["aa", "bb", "cc", "dd", f"w{r.randrange(60)}"]) for _ in range(r.randrange(1, 12))), r.choice(["g1", "g2", "g3", None])) for i in range(300)]
+    rows += [(i, "aa w1 w2", g) for i, g in ((400, "g1"), (400, "g2"), (410, "g1"), (410, "g1"), (420, None), (421, "g9"), (430, "g9"))]
+    spark.createDataFrame(rows, "id long, text string, group_id string").write.parquet(str(tmp_path / "t"))
+    corpus = spark.read.parquet(str(tmp_path / "t"))
+    idf, w = retrieval.fit(corpus.select("id", "text"))
+    q = corpus.where("id % 10 = 0").select(F.col("id").alias("query_id"), "text", "group_id")
+    out = retrieval.lexical_topk(w.join(corpus.select("id", "group_id"), "id"), q, idf, 3)
+    assert "Join" not in _planned(out)
+    weights = {}
+    for x in w.collect():
+        weights.setdefault(x.id, {})[x.term] = x.weight
+    groups = {}
+    for i, _, g in rows:
+        groups.setdefault(i, []).append(g)
+    want = set()
+    for a in (i for i in weights if i % 10 == 0):
+        score = {b: sum(v * weights[b].get(t, 0) for t, v in weights[a].items()) * sum(g is None or h is None or g != h for g in groups[a] for h in groups[b]) for b in weights}
+        best = sorted(((-round(s, 8), b) for b, s in score.items() if round(s, 8) > 0))[:3]
+        want |= {(a, b, n + 1, round(-s, 6)) for n, (s, b) in enumerate(best)}
+    assert {(x.query_id, x.id, x["rank"], round(x.score, 6)) for x in out.collect()} == want
+
+
+def test_more_texts_are_counted_in_more_tasks(spark, tmp_path, monkeypatch):
+    spark.range(300).selectExpr("id", "concat('text ', uuid()) AS text").write.parquet(str(tmp_path / "t"))
+    texts = spark.read.parquet(str(tmp_path / "t"))
+    few = retrieval._counts(texts, 2)
+    monkeypatch.setattr(retrieval, "TEXT_BYTES", 100)
+    many = retrieval._counts(texts, 2)
+    assert many.rdd.getNumPartitions() == 32 >= 8 * few.rdd.getNumPartitions()
+    assert not few.exceptAll(many).count() and few.count() == many.count()
+
+
+def test_best_of_blocks(monkeypatch):
+    """The best so far, block after block, are those of all rows: common terms and others, ties by id, few terms as matrices or none."""
+    r = random.Random(7)
+
+    def block(first, n):
+        sparse = [{t: r.random() for t in {int(60 * r.random() ** 3) for _ in range(r.randrange(1, 12))}} if i % 4 else {1: 0.5, 2: 0.5} for i in range(n)]
+        packed = [np.array([t for s in sparse for t in s], "<i4").tobytes(), np.array([v for s in sparse for v in s.values()], "<f8").tobytes()]
+        groups = [r.choice(["a", "b", None]) for _ in range(n)]
+        return list(zip(range(first, first + n), groups, sparse, strict=True)), retrieval._Rows(list(range(first, first + n)), groups, [False] * n, np.array([len(s) for s in sparse], "<i4").tobytes(), *packed)
+
+    for common, entries in ((4096, 1 << 20), (3, 50), (0, 7)):
+        monkeypatch.setattr(retrieval, "COMMON_TERMS", common)
+        monkeypatch.setattr(retrieval, "AT_ONCE", entries)
+        asked, cols = block(1000, 20)
+        best, seen = {}, []
+        for at in range(0, 200, 40):
+            plain, rows = block(at, 40)
+            seen += plain
+            assert not list(retrieval._best(best, rows, cols, 3))
+        ((keys, j, ids, _),) = best.values()
+        for n, (a, g, x) in enumerate(asked):
+            score = {b: round(sum(v * y.get(t, 0) for t, v in x.items()), 8) for b, h, y in seen if g is None or h is None or g != h}
+            assert keys[n] == a and ids[j == n].tolist() == sorted((b for b, s in score.items() if s > 0), key=lambda b: (-score[b], b))[:3]
+
+
 def test_dense(spark):
     r = random.Random(2)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(70, [0.0] * 8), (71, None)]
